@@ -29,14 +29,14 @@ def hot_aware_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], coun
     return few.unionByName(rest)
 
 
-def members_of_groups(rows: DataFrame, keys: Sequence[str], id_col: str, extra: Sequence[Column] = ()) -> DataFrame:
+def members_of_groups(rows: DataFrame, keys: Sequence[str], id_col: str, extra: Sequence[Column] = (), keep: Sequence[str] = ()) -> DataFrame:
     """Every row of a group of at least two rows, with ``rep_id`` (the group's smallest id), ``copies`` and ``extra`` aggregates.
 
     Groups are formed by partial aggregation; members find their group by :func:`hot_aware_join`, so that a group with a
     third of all rows is never gathered. Groups whose key has a null are left out.
     """
     keys = list(keys)
-    rows = materialize(rows.select(*keys, id_col), "members")
+    rows = materialize(rows.select(*keys, id_col, *keep), "members")
     groups = materialize(
         rows.dropna(subset=keys).groupBy(*keys).agg(F.min(id_col).alias("rep_id"), F.count(F.lit(1)).alias("copies"), *extra).where("copies > 1"), "groups"
     )
