@@ -105,3 +105,11 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
     found = leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text", "lang")
     return found.where("verbatim").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+@query
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    from millrace.llm.lookalikes import look_alikes
+
+    found = look_alikes(table(spark, d, "submissions"), "id", "normalized_text")
+    return found.where("id <> rep_id").select("rep_id", F.col("id").alias("copy_id"))
