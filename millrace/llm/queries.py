@@ -113,3 +113,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
     found = look_alikes(table(spark, d, "submissions"), "id", "normalized_text")
     return found.where("id <> rep_id").select("rep_id", F.col("id").alias("copy_id"))
+
+
+@query
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    from millrace.llm.near_duplicates import near_duplicates
+
+    found = near_duplicates(patterns_and_texts(spark, d), "tab", "id", "text")
+    return found.where("id <> rep_id").select("tab", "rep_id", F.col("id").alias("member_id"))
