@@ -63,7 +63,7 @@ def encode(df: DataFrame, id_col: str, text_col: str, path: str, frequent: int =
     texts = materialize(rows, "words")
     table = materialize(word_table(texts, path), "word-table")
     top = table.orderBy(F.desc("n"), "w").limit(frequent).select("w", "ids").toPandas()  # at most `frequent` rows
-    known = texts.sparkSession.sparkContext.broadcast({w: i.astype(np.int32) for w, i in zip(top["w"], top["ids"])})
+    known = texts.sparkSession.sparkContext.broadcast({w: np.asarray(i, np.int32) for w, i in zip(top["w"], top["ids"])})
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # frequent words become their ids, each rare word -1; the rare words go along, in order, by runs of words
