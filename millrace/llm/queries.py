@@ -121,3 +121,10 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
     found = near_duplicates(patterns_and_texts(spark, d), "tab", "id", "text")
     return found.where("id <> rep_id").select("tab", "rep_id", F.col("id").alias("member_id"))
+
+
+@query
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    from millrace.llm.sentences import sentences
+
+    return sentences(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
