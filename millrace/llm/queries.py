@@ -128,3 +128,66 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     from millrace.llm.sentences import sentences
 
     return sentences(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def own_words(s: DataFrame) -> DataFrame:
+    """``id, words``: the subject and message parts of ``normalized_text``.
+
+    The parts that repeat the form's name and e-mail are left out; without a payload, parts that hold one address and those
+    of up to three words beside it.
+    """
+    from millrace.llm.common import reduced
+
+    parts = F.split("normalized_text", r"\s\|\s")
+    name, mail = reduced(F.col("raw_payload.name")), reduced(F.col("raw_payload.email"))
+    address = lambda x: x.rlike(r"^\s*\S+(@|\(at\)|\[at\])\S+\s*$")
+    known = F.filter(parts, lambda x: ~(F.coalesce(reduced(x) == name, F.lit(False)) | F.coalesce(reduced(x) == mail, F.lit(False)) | address(x)))
+    place = F.coalesce(F.array_position(F.transform(parts, address), F.lit(True)), F.lit(0))
+    short = lambda x: x.rlike(r"^\s*\S+(\s+\S+){0,2}\s*$")
+    guessed = F.filter(parts, lambda x, i: ~(address(x) | ((place > 0) & short(x) & ((i + 2 == place) | (place == 1) & (i == F.size(parts) - 1)))))
+    return s.select("*", F.array_join(F.when(F.col("raw_payload").isNull() | F.col("raw_payload.name").isNull(), guessed).otherwise(known), " | ").alias("words"))
+
+
+def language_records(spark: SparkSession, d: str) -> DataFrame:
+    from millrace.llm.languages import primary_subtag
+
+    s = own_words(table(spark, d, "submissions").select("id", "normalized_text", "raw_payload", "request_headers").where("normalized_text is not null"))
+    host = F.lower(F.regexp_extract("raw_payload.email", r"@\s*([^\s>@]+)", 1))
+    s = s.select(
+        F.lit("submissions").alias("tab"), "id", F.col("words").alias("text"), primary_subtag(F.element_at("request_headers", "accept-language")).alias("declared"), host.alias("host"),
+        F.regexp_extract(host, r"\.([^.]+)$", 1).alias("suffix"),
+    )
+    x = table(spark, d, "documents").where("text is not null").select(
+        F.lit("documents").alias("tab"), F.col("doc_id").alias("id"), "text", primary_subtag(F.col("lang")).alias("declared"), F.lower("source").alias("host"),
+        F.regexp_extract(F.lower("source"), r"\.([^.]+)$", 1).alias("suffix"),
+    )
+    return s.unionByName(x)
+
+
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from millrace.llm import languages as lg
+
+    found = lg.detect(language_records(spark, d), table(spark, d, "lang_samples")).where(F.size("languages") > 0)
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit("documents").alias("tab"), lg.primary_subtag(F.col("lang")).alias("declared"))
+    joined = found.join(docs, ["tab", "id"], "left")
+    right = (F.size("languages") == 1) & F.coalesce(F.col("declared") == F.col("languages")[0]["label"], F.lit(False))
+    told = joined.where((F.col("tab") == "submissions") | ~right).select("tab", F.col("id").alias("rec_id"), F.explode("languages.label").alias("label"))
+    c = lg.cluster_scripts(table(spark, d, "clusters"), table(spark, d, "signatures")).where("main_script is null or lower(main_script) <> script")
+    return told.unionByName(c.select(F.lit("clusters").alias("tab"), F.col("id").cast("long").alias("rec_id"), F.col("script").alias("label")))
+
+
+@query
+def p2_cluster_scripts(spark: SparkSession, d: str) -> DataFrame:
+    from millrace.llm.languages import cluster_scripts
+
+    return cluster_scripts(table(spark, d, "clusters"), table(spark, d, "signatures")).select("id", "script")
+
+
+SQL["p2_cluster_scripts"] = r"""
+with l as (select id sid, regexp_replace(regexp_replace(pattern, '<[^<>]*>', '', 'g'), '[^\p{L}]', '', 'g') x from signatures where pattern is not null),
+s as (select sid, case when x = '' then 'none' when 2 * length(regexp_replace(x, '[^\x{400}-\x{4FF}]', '', 'g')) > length(x) then 'cyrillic'
+  when 2 * length(regexp_replace(x, '[^A-Za-z]', '', 'g')) > length(x) then 'latin' else 'other' end script from l),
+m as (select id, unnest(list_distinct(signature_ids)) sid from clusters),
+v as (select m.id, s.script, count(*) n from m join s on m.sid = s.sid group by all)
+select id, script from (select id, script, row_number() over (partition by id order by n desc, list_position(['latin', 'cyrillic', 'other', 'none'], script)) r from v) where r = 1"""
