@@ -191,3 +191,19 @@ s as (select sid, case when x = '' then 'none' when 2 * length(regexp_replace(x,
 m as (select id, unnest(list_distinct(signature_ids)) sid from clusters),
 v as (select m.id, s.script, count(*) n from m join s on m.sid = s.sid group by all)
 select id, script from (select id, script, row_number() over (partition by id order by n desc, list_position(['latin', 'cyrillic', 'other', 'none'], script)) r from v) where r = 1"""
+
+
+@query
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    from millrace.llm.personal_data import find
+
+    s = table(spark, d, "submissions").select("id", "raw_payload", "normalized_text")
+    return find(s, "id").select(F.col("id").alias("submission_id"), "field", "kind").distinct()
+
+
+@query
+def p1_masked(spark: SparkSession, d: str) -> DataFrame:
+    """All texts with typed placeholders in place of personal items."""
+    from millrace.llm.personal_data import mask
+
+    return mask(table(spark, d, "submissions").select("id", "raw_payload", "normalized_text"), "id").withColumnRenamed("id", "submission_id")
