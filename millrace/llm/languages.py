@@ -43,7 +43,10 @@ COMMON = {
 LEAST = -2.5
 _COMMON = {lang: set(COMMON.get(lang, "").split()) for lang in LANGS}
 
-_NOISE = re.compile(r"https?[:/]+[!-~]+|www\.[!-~]+|<[^<>]{0,300}>|\[/?url[^\]]*\]|[!-~]+@[!-~]+|[A-Za-z._-]*\d[A-Za-z0-9.,:_-]*|<\w+>", re.I)
+_URL = re.compile(r"(?:https?[:/]+|www\.)[!-~]+", re.I)
+_MAIL = re.compile(r"(?<![!-~])[!-?A-~]+@[!-~]+")
+_TAG = re.compile(r"<[^<>]{0,300}>|\[/?url[^\]]*\]", re.I)
+_MIXED = re.compile("[A-Za-zÀ-ɏ][Ͱ-ԯ]|[Ͱ-ԯ][A-Za-zÀ-ɏ]")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _CYR = re.compile("[Ѐ-ԯ]")
 _LAT = re.compile("[A-Za-zÀ-ɏ]")
@@ -56,13 +59,17 @@ Model = dict[str, tuple[float, ...]]
 
 
 def clean(text: str) -> str:
-    """Character forms folded, look-alike letters of mixed tokens replaced, and addresses, codes and markup blanked."""
-    text = fold_forms(text)
-    if _CYR.search(text) or not text.isascii():
-        swaps = dict(suspects(text))
-        if swaps:
+    """Character forms folded, look-alike letters of mixed tokens replaced, and addresses and markup blanked."""
+    if not text.isascii():
+        text = fold_forms(text)
+        if _MIXED.search(text):
+            swaps = dict(suspects(text))
             text = _WORD.sub(lambda m: swaps.get(m.group(), m.group()), text)
-    return _NOISE.sub(" ", text)
+    if "<" in text or "[" in text:
+        text = _TAG.sub(" ", text)
+    if "http" in text or "www." in text or "HTTP" in text or "Http" in text:
+        text = _URL.sub(" ", text)
+    return _MAIL.sub(" ", text) if "@" in text else text
 
 
 def words_of(segment: str) -> list[str]:
@@ -155,6 +162,12 @@ def languages_of(text: str, model: Model, prior: list[float]) -> list[tuple[str,
     found = [(ev, n, len(s)) for s in segments for ev, n in [evidence(s, model)] if n]
     if not found:
         return []
+    whole = [sum(x) + p for x, p in zip(zip(*(ev for ev, _, _ in found)), prior)]
+    main = whole.index(max(whole))
+    if all(max(ev) - ev[main] < CHANGE / 2 for ev, _, _ in found):
+        # no segment speaks for a change
+        top = whole[main]
+        return [(LANGS[main], 1.0 / sum(math.exp(x - top) for x in whole), sum(size for _, _, size in found))]
     path = label_segments([(ev, n) for ev, n, _ in found], prior)
     total: dict[int, list] = {}
     runs: list[list] = []
@@ -214,7 +227,7 @@ def detect(records: DataFrame, samples: DataFrame, lang_col: str = "lang", sampl
     first = spark.sparkContext.broadcast(base_model(samples, lang_col, sample_text))
     rows = records.select("tab", F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("declared", F.lit("")).alias("declared"),
                           F.coalesce("host", F.lit("")).alias("host"), F.coalesce("suffix", F.lit("")).alias("suffix"))
-    flat = [0.0] * len(LANGS)
+    rows = materialize(rows, "language-texts")
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = first.value
@@ -300,10 +313,10 @@ def _flush(counts: Counter, keys: Counter) -> pa.RecordBatch:
 
 def pattern_script(pattern):
     """cyrillic, latin, other or none by the letters of a pattern outside ``<...>`` tokens; null for null."""
-    letters = F.regexp_replace(F.regexp_replace(pattern, r"<[^<>]*>", ""), r"[^\p{L}]", "")
+    letters = F.regexp_replace(F.regexp_replace(pattern, r"<[^<>]*>", ""), r"[^\p{L}]+", "")
     n = F.char_length(letters)
-    cyrillic = n - F.char_length(F.regexp_replace(letters, r"[\x{400}-\x{4FF}]", ""))
-    latin = n - F.char_length(F.regexp_replace(letters, "[A-Za-z]", ""))
+    cyrillic = n - F.char_length(F.regexp_replace(letters, r"[\x{400}-\x{4FF}]+", ""))
+    latin = n - F.char_length(F.regexp_replace(letters, "[A-Za-z]+", ""))
     return F.when(n == 0, "none").when(cyrillic * 2 > n, "cyrillic").when(latin * 2 > n, "latin").when(n > 0, "other")
 
 
