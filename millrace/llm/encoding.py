@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,11 +19,9 @@ from millrace.session import materialize
 TOKENIZERS = "/opt/tokenizers"
 #: The split pattern of this tokenizer family (contractions, words, numbers, other signs, white space).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
-#: The words that fill the broadcast table: the FREQUENT most frequent ones, a fixed bound whatever the corpus.
-FREQUENT = 20_000
-#: A text is cut into runs of this many words, so that a huge text is no single group.
-RUN = 4096
-
+#: The words that fill the broadcast table: the FREQUENT most frequent ones, a fixed bound whatever the corpus. Words that no
+#: batch of texts holds LOCAL times are not even counted for it.
+FREQUENT, LOCAL = 20_000, 8
 
 @lru_cache(maxsize=4)
 def encoder(path: str):
@@ -39,67 +38,109 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.col("p")[1].cast("int").alias("id"), F.unbase64(F.col("p")[0]).alias("piece"))
 
 
-def word_table(texts: DataFrame, path: str) -> DataFrame:
-    """``w, n, ids``: every distinct word of ``texts`` (column ``words``), its frequency and its ids, encoded once."""
+def _packed(path: str) -> np.dtype:
+    """Ids are shuffled as two bytes where the vocabulary allows it; the largest value marks a hole."""
+    return np.dtype("<u2") if encoder(path).n_vocab < 0xFFFF else np.dtype("<u4")
+
+
+def _encode_all(words: list[str], path: str) -> list[bytes]:
+    kind, enc = _packed(path), encoder(path)._core_bpe
+    return [np.array(enc.encode_single_piece(w.encode("utf-8", "replace")), kind).tobytes() for w in words]
+
+
+def frequent_words(texts: DataFrame, limit: int) -> list[str]:
+    """The most frequent words of ``texts`` (column ``words``), at most ``limit``."""
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)._core_bpe
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [enc.encode_single_piece(w.encode("utf-8", "replace")) for w in batch.column("w").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("w"), batch.column("n"), pa.array(ids, pa.list_(pa.int32()))], ["w", "n", "ids"])
+            both = batch.column("words").flatten().value_counts()
+            often = both.filter(pc.greater_equal(both.field("counts"), LOCAL))
+            yield pa.RecordBatch.from_arrays([often.field("values"), often.field("counts")], ["w", "n"])
 
-    counted = texts.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    return counted.mapInArrow(encode, "w string, n long, ids array<int>")
+    counted = texts.select("words").mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    return [r["w"] for r in counted.orderBy(F.desc("n"), "w").limit(limit).collect()]
 
 
 def encode(df: DataFrame, id_col: str, text_col: str, path: str, frequent: int = FREQUENT) -> DataFrame:
     """``id, ids`` for each row: the token ids of the text, without special tokens; an empty list for null and empty texts.
 
-    Texts are split into words by the tokenizer's own pattern, each distinct word is encoded once, and ids are joined back by
-    position. The ``frequent`` most frequent words, most of any corpus, are looked up in a broadcast table of that fixed
-    size, inside the rows of their texts; only the rest is joined by shuffle. Repeated ids give a row each; a null id too.
+    Texts are split into words by the tokenizer's own pattern in Spark. The ``frequent`` most frequent words, most of any corpus,
+    are looked up in a broadcast table of that fixed size, inside the rows of their texts. The occurrences of all other words
+    are brought together by word; each partition is a table of its distinct words, each encoded once, from which ids go
+    back to their text by position. No text is cut; repeated ids give a row each, a null id too.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.regexp_extract_all(F.coalesce(text_col, F.lit("")), F.lit(WORDS), F.lit(0)).alias("words"), F.monotonically_increasing_id().alias("row"))
-    texts = materialize(rows, "words")
-    table = materialize(word_table(texts, path), "word-table")
-    top = table.orderBy(F.desc("n"), "w").limit(frequent).select("w", "ids").toPandas()  # at most `frequent` rows
-    known = texts.sparkSession.sparkContext.broadcast({w: np.asarray(i, np.int32) for w, i in zip(top["w"], top["ids"])})
+    words = F.regexp_extract_all(F.coalesce(text_col, F.lit("")), F.lit(WORDS), F.lit(0)).alias("words")
+    texts = df.select(F.col(id_col).alias("id"), words)
+    top = frequent_words(texts, frequent)
+    known = texts.sparkSession.sparkContext.broadcast((top, _encode_all(top, path)))
+    kind = _packed(path)
+    hole = np.iinfo(kind).max
+    id_type = texts.schema["id"].dataType.simpleString()
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # frequent words become their ids, each rare word -1; the rare words go along, in order, by runs of words
-        ids_of, hole = known.value, np.array([-1], np.int32)
+        # frequent words become their ids, each rare word a hole; the rare words go along in order
+        table_words, table_ids = known.value
+        place = dict(zip(table_words, range(len(table_words))))
+        flat = np.frombuffer(b"".join(table_ids) + hole.to_bytes(kind.itemsize, "little"), kind)
+        sizes = np.array([len(b) // kind.itemsize for b in table_ids] + [1], np.int64)
+        begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        last = len(table_words)
         for batch in batches:
-            rows, ids, rare = [], [], []
-            for r, words in zip(batch.column("row").to_pylist(), batch.column("words").to_pylist()):
-                got = [ids_of.get(w, hole) for w in words]
-                rows.append(r)
-                ids.append(np.concatenate(got) if got else np.empty(0, np.int32))
-                rare.append([w for w, g in zip(words, got) if g is hole])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(rows, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(rare, pa.list_(pa.string()))], ["id", "row", "ids", "rare"]
-            )
-
-    id_type = texts.schema["id"].dataType.simpleString()
-    half = materialize(texts.mapInArrow(look_up, f"id {id_type}, row long, ids array<int>, rare array<string>"), "half-encoded")
-    holes = half.select("row", F.posexplode("rare").alias("pos", "w"))
-    filled = holes.join(table.select("w", F.col("ids").alias("word_ids")), "w")
-    runs = filled.groupBy("row", F.floor(F.col("pos") / RUN).alias("run")).agg(F.sort_array(F.collect_list(F.struct("pos", "word_ids"))).alias("f"))
-    fill = runs.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("run", F.col("f.word_ids").alias("f")))).alias("g")).select("row", F.flatten(F.col("g.f")).alias("fills"))
+            lists = batch.column("words")
+            coded = lists.flatten().dictionary_encode()
+            entry = np.fromiter((place.get(w, last) for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+            at = entry[coded.indices.to_numpy()]
+            counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(counts)
+            n = sizes[at]
+            total = np.concatenate([[0], np.cumsum(n)])
+            ids = flat[np.repeat(begins[at] - total[:-1], n) + np.arange(total[-1])]
+            cut = total[np.concatenate([[0], ends])]
+            packed = [ids[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
+            rare = at == last
+            offsets = np.concatenate([[0], np.cumsum(rare)])[np.concatenate([[0], ends])]
+            holes = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), lists.flatten().filter(pa.array(rare)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(packed, pa.binary()), holes], ["id", "row", "packed", "rare"])
+
+    half = texts.withColumn("row", F.monotonically_increasing_id()).select("id", "row", "words").mapInArrow(look_up, f"id {id_type}, row long, packed binary, rare array<string>")
+    half = materialize(half, "half-encoded")
+
+    def encode_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # words come sorted, so a word is met in one run; the last one of a batch is kept for the next
+        kept: dict[str, bytes] = {}
+        for batch in batches:
+            coded = batch.column("w").dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            new = [w for w in distinct if w not in kept]
+            table = kept | dict(zip(new, _encode_all(new, path)))
+            ids = pa.array([table[w] for w in distinct], pa.binary()).take(coded.indices)
+            kept = {w: table[w] for w in [batch.column("w")[-1].as_py()]} if len(coded) else kept
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("pos"), ids], ["row", "pos", "packed"])
+
+    holes = half.select("row", F.posexplode("rare").alias("pos", "w")).repartition("w").sortWithinPartitions("w").select("row", "pos", "w")
+    filled = holes.mapInArrow(encode_rare, "row long, pos int, packed binary")
+    parts = half.select("row", "id", F.lit(-1).alias("pos"), "packed").unionByName(filled, allowMissingColumns=True)
+    whole = parts.groupBy("row").agg(F.max("id").alias("id"), F.sort_array(F.collect_list(F.struct("pos", "packed"))).alias("parts"))
 
     def fill_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for ids, fills in zip(batch.column("ids").to_pylist(), batch.column("fills").to_pylist()):
-                if fills:
-                    it, whole = iter(fills), []
-                    for i in ids:
-                        whole.extend(next(it)) if i < 0 else whole.append(i)
-                    ids = whole
+            out, sizes = [], []
+            for parts in batch.column("packed").to_pylist():
+                ids = np.frombuffer(parts[0], kind)
+                if len(parts) > 1:
+                    at = np.flatnonzero(ids == hole)
+                    pieces_, last = [], 0
+                    for k, fill in zip(at.tolist(), parts[1:]):
+                        pieces_ += [parts[0][last * kind.itemsize : k * kind.itemsize], fill]
+                        last = k + 1
+                    ids = np.frombuffer(b"".join([*pieces_, parts[0][last * kind.itemsize :]]), kind)
                 out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.list_(pa.int32()))], ["id", "ids"])
+                sizes.append(len(ids))
+            flat = np.concatenate(out).astype(np.int32) if out else np.empty(0, np.int32)
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["id", "ids"])
 
-    joined = half.drop("rare").join(fill, "row", "left").select("id", "ids", "fills")
-    return joined.mapInArrow(fill_in, f"id {id_type}, ids array<int>")
+    return whole.select("id", F.col("parts.packed").alias("packed")).mapInArrow(fill_in, f"id {id_type}, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: DataFrame) -> DataFrame:
