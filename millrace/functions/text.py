@@ -87,7 +87,7 @@ def template_v1(text: Column) -> Column:
 def template_v2(text: Column) -> Column:
     """The same by ASCII classes, without restoring mask tokens: the grammar of signatures."""
     t = F.lower(F.coalesce(text, F.lit("")))
-    for pattern, token in ((EMAIL, "<EMAIL>"), (r"https?://[^\s]+", "<URL>"), (TEMPLATE_PHONE, "<PHONE>"), (r"\b\d+\b", "<NUM>"), (r"(.)\1{3,}", "<REPEAT>")):
+    for pattern, token in ((EMAIL, "<EMAIL>"), (r"https?://[^\s]+", "<URL>"), (TEMPLATE_PHONE, "<PHONE>"), (r"(?<![A-Za-z0-9_])[0-9]+(?![A-Za-z0-9_])", "<NUM>"), (r"(.)\1{3,}", "<REPEAT>")):
         t = F.regexp_replace(t, pattern, token)
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 

@@ -94,7 +94,7 @@ def match_rules(tx: DataFrame, key: str, items: str, found: DataFrame) -> DataFr
     numbered = found.select(F.xxhash64("antecedent", "consequent").alias("rule"), "antecedent", "consequent")
     wanted = numbered.select("rule", F.explode("antecedent").alias("item"), F.size("antecedent").alias("need"))
     have = tx.select(key, F.explode(F.array_distinct(items)).alias("item"))
-    hits = have.join(F.broadcast(wanted.limit(100_000)), "item").groupBy(key, "rule", "need").agg(F.count(F.lit(1)).alias("n")).where("n = need")
+    hits = have.join(wanted, "item").groupBy(key, "rule", "need").agg(F.count(F.lit(1)).alias("n")).where("n = need")
     return hits.join(numbered, "rule").select(key, "antecedent", "consequent")
 
 

@@ -31,14 +31,14 @@ def split_measures(df: DataFrame, attributes: Sequence[str], label: str) -> Data
     return sums.select("attribute", "values", gain.alias("gain"), info.alias("split_info"), F.when(info > 1e-12, gain / info).otherwise(0.0).alias("gain_ratio"))
 
 
-def knn(train: DataFrame, test: DataFrame, key: str, x: str, label: str, k: int, block: int = 2000) -> DataFrame:
+def knn(train: DataFrame, test: DataFrame, key: str, x: str, label: str, k: int, block: int = 2000, sample: int = 50_000) -> DataFrame:
     """``key, prediction, tie``: 1 if more than half of the k nearest (Euclidean, then key) are 1; tie: the next neighbour is as near.
 
-    The training side is a bounded, labelled sample sent out in blocks; each block hands on only its k + 1 nearest to each row,
-    so no table of all distances is kept.
+    The training side is fitted on at most ``sample`` labelled rows (the first by the hash of the key) and sent out in blocks;
+    each row keeps only its k + 1 nearest, so no table of all distances is made.
     """
     spark = train.sparkSession
-    rows = train.select(key, x, label).dropna().orderBy(key).collect()
+    rows = sorted(train.select(key, x, label).dropna().orderBy(F.xxhash64(key), key).limit(sample).collect(), key=lambda r: r[key])
     parts = [spark.sparkContext.broadcast((np.array([r[key] for r in rows[i : i + block]]), np.array([r[x] for r in rows[i : i + block]], float), np.array([r[label] for r in rows[i : i + block]]))) for i in range(0, len(rows), block)]
     kind = test.schema[key].dataType.simpleString()
 

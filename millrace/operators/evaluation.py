@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.relational import running_sums
+
 
 def confusion(label: Column, prediction: Column) -> dict[str, Column]:
     return {"tp": F.count_if((label == 1) & (prediction == 1)), "fn": F.count_if((label == 1) & (prediction == 0)), "fp": F.count_if((label == 0) & (prediction == 1)), "tn": F.count_if((label == 0) & (prediction == 0))}
@@ -28,10 +30,9 @@ def scored_metrics(df: DataFrame, group: Sequence[str], label: str, prediction:
 
 
 def auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """``auc`` by rank sums with average ranks for ties: rows are first counted by distinct score, so ranks are of distinct scores."""
+    """``auc`` by rank sums with average ranks for ties: rows are first counted by distinct score, then ranked over ranges of it."""
     by_score = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(score).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("int")).alias("p"))
-    w = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = by_score.withColumn("rank", F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2)
+    ranked = running_sums(by_score, [score], ["n"]).withColumn("rank", F.col("running_n") - (F.col("n") - 1) / 2)
     s = ranked.agg(F.sum(F.col("rank") * F.col("p")).alias("r"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     q = F.col("n") - F.col("p")
     return s.select(F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, (F.col("p") * q).cast("double")).alias("auc"))
@@ -39,10 +40,11 @@ def auc(df: DataFrame, label: str, score: str) -> DataFrame:
 
 def roc(df: DataFrame, label: str, score: str) -> DataFrame:
     """``threshold, tpr, fpr`` at each distinct score, from the highest down."""
-    by_score = df.where(F.col(label).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(F.sum((F.col(label) == 1).cast("int")).alias("p"), F.sum((F.col(label) == 0).cast("int")).alias("q"))
-    down = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    total = by_score.agg(F.sum("p").alias("tp"), F.sum("q").alias("tq"))
-    return by_score.join(total, F.lit(True)).select("threshold", F.try_divide(F.sum("p").over(down).cast("double"), F.col("tp")).alias("tpr"), F.try_divide(F.sum("q").over(down).cast("double"), F.col("tq")).alias("fpr"))
+    rows = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+    by_score = rows.groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q"))
+    total = by_score.agg(F.sum("p").alias("tp"), F.sum("q").alias("tq")).first()  # one row
+    summed = running_sums(by_score, [F.desc("threshold")], ["p", "q"])
+    return summed.select("threshold", F.try_divide("running_p", F.lit(float(total["tp"] or 0))).alias("tpr"), F.try_divide("running_q", F.lit(float(total["tq"] or 0))).alias("fpr"))
 
 
 def grouped_folds(df: DataFrame, group: str, k: int = 5, seed: int = 42) -> DataFrame:
@@ -51,9 +53,8 @@ def grouped_folds(df: DataFrame, group: str, k: int = 5, seed: int = 42) -> Data
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """``fold`` dealt round by round within each label in hash order."""
-    w = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
-    return df.withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(k)).cast("int"))
+    """``fold`` by the hash of label and key: each label spreads evenly over the folds, without ranking its rows."""
+    return df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), F.col(label), F.col(key)), F.lit(k)).cast("int"))
 
 
 def time_split(df: DataFrame, ts: str, first_test_year: int) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.feature import Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
@@ -30,17 +31,26 @@ def min_max(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def covariance(df: DataFrame, vector: str, size: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(mean, sample covariance, rows) of an array column by one aggregation of size^2 sums."""
-    at = [F.element_at(vector, i + 1).cast("double").alias(f"_{i}") for i in range(size)]
-    x = df.select(*at)
-    names = [f"_{i}" for i in range(size)]
-    row = x.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{c}") for c in names], *[F.covar_samp(a, b).alias(f"c{a}{b}") for i, a in enumerate(names) for b in names[i:]]).first()
-    mean = np.array([row[f"m{c}"] or 0.0 for c in names])
-    cov = np.zeros((size, size))
-    for i, a in enumerate(names):
-        for j in range(i, size):
-            cov[i, j] = cov[j, i] = row[f"c{a}{names[j]}"] or 0.0
-    return mean, cov, row["n"]
+    """(mean, sample covariance, rows) of an array column; rows with a null vector are left out.
+
+    Each batch of rows becomes one row of sums of products, these are added up in Spark by position, and only the
+    size^2 + size + 1 totals reach the driver.
+    """
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(1 + size + size * size)
+        for pdf in frames:
+            if len(pdf):
+                x = np.array(pdf["v"].tolist(), float)
+                total += np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x).ravel()])
+        yield pd.DataFrame({"s": [total.tolist()]})
+
+    parts = df.select(F.col(vector).cast("array<double>").alias("v")).where("v is not null").mapInPandas(sums, "s array<double>")
+    rows = parts.select(F.posexplode("s").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
+    t = np.array([r["x"] for r in rows])
+    n = int(t[0])
+    mean = t[1 : size + 1] / max(n, 1)
+    return mean, (t[size + 1 :].reshape(size, size) - n * np.outer(mean, mean)) / max(n - 1, 1), n
 
 
 def pca(df: DataFrame, key: str, vector: str, size: int, components: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:

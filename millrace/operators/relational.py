@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.session import materialize
+
 
 def full_name(full: Column, *parts: Column) -> Column:
     """The full name, else the distinct parts joined by blanks; null if there is none."""
@@ -66,12 +68,12 @@ def sample_n(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 
 
 def split_by_hash(df: DataFrame, key: str, share: float, stratum: str | None = None, seed: int = 42) -> DataFrame:
-    """``in_test``: a repeatable split; with a stratum each of its values is split at its own rank."""
-    h = F.xxhash64(F.lit(seed), F.col(key))
-    if stratum is None:
-        return df.withColumn("in_test", F.pmod(h, F.lit(1_000_000)) < share * 1_000_000)
-    w = Window.partitionBy(stratum).orderBy(h, key)
-    return df.withColumn("in_test", F.percent_rank().over(w) >= 1 - share)
+    """``in_test``: a repeatable split by the hash of the key; a stratum enters the hash, so its values are split independently.
+
+    Shares are met in expectation; no rank within a stratum is needed, so large strata cost nothing extra.
+    """
+    cols = [F.lit(seed), F.col(key)] + ([F.col(stratum)] if stratum else [])
+    return df.withColumn("in_test", F.pmod(F.xxhash64(*cols), F.lit(1_000_000)) < int(share * 1_000_000))
 
 
 def null_counts(df: DataFrame) -> DataFrame:
@@ -103,25 +105,27 @@ def translate(column: Column, labels: Mapping[str, str], default: str) -> Column
     return F.coalesce(F.element_at(table, column), F.lit(default))
 
 
-def runs(df: DataFrame, order: Sequence[str], hit: Column) -> DataFrame:
-    """Stretches of consecutive rows without a hit: ``run, rows, start_at, end_at`` by the first order column.
+def running_sums(df: DataFrame, order: Sequence[str | Column], names: Sequence[str]) -> DataFrame:
+    """``running_name`` for each of ``names`` (columns without nulls): the sum over all rows up to the row in a global order.
 
-    A global order needs each row's rank. Rows are cut into ranges of the order; hits are counted by range, the counts of earlier
-    ranges are added (as many rows as there are ranges), and only within a range is a running sum taken, so no task sees all
-    rows.
+    Rows are cut into ranges of the order and summed by range; the sums of earlier ranges are added (as many rows as there are
+    ranges), and only within a range is a running sum taken, so no task sees all rows. Ties need a further order column.
     """
     spark = df.sparkSession
-    from millrace.session import materialize
-
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = df.select(*order, hit.cast("int").alias("_hit")).repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id())
-    rows = materialize(rows, "runs")
-    totals = rows.groupBy("_p").agg(F.sum("_hit").alias("_h")).collect()  # one row a range
-    before, seen = [], 0
+    rows = materialize(df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()), "running")
+    totals = rows.groupBy("_p").agg(*[F.sum(n).cast("double").alias(n) for n in names]).collect()  # one row a range
+    before, seen = [], [0.0] * len(names)
     for r in sorted(totals, key=lambda r: r["_p"]):
-        before.append((r["_p"], seen))
-        seen += r["_h"]
-    base = F.broadcast(spark.createDataFrame(before, "_p int, _base long"))
+        before.append((r["_p"], *seen))
+        seen = [a + r[n] for a, n in zip(seen, names)]
+    base = F.broadcast(spark.createDataFrame(before, "_p int, " + ", ".join(f"_b{i} double" for i in range(len(names)))))
     w = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    marked = rows.join(base, "_p").withColumn("run", F.col("_base") + F.sum("_hit").over(w))
+    joined = rows.join(base, "_p")
+    return joined.select(*df.columns, *[(F.col(f"_b{i}") + F.sum(n).over(w)).alias(f"running_{n}") for i, n in enumerate(names)])
+
+
+def runs(df: DataFrame, order: Sequence[str], hit: Column) -> DataFrame:
+    """Stretches of consecutive rows without a hit: ``run, rows, start_at, end_at`` by the first order column."""
+    marked = running_sums(df.select(*order, hit.cast("int").alias("_hit")), order, ["_hit"]).withColumn("run", F.col("running__hit").cast("long"))
     return marked.where("_hit = 0").groupBy("run").agg(F.count(F.lit(1)).alias("rows"), F.min(order[0]).alias("start_at"), F.max(order[0]).alias("end_at"))

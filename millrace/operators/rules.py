@@ -99,9 +99,9 @@ def _model(p: dict) -> Column:
 def catalogue() -> list[Rule]:
     """Names, weights, severities and parameters of the default rules."""
     return [
-        Rule(1, "honeypot_text_filled", 50, "high", "trap_filled", {"field": "text_hidden"}),
-        Rule(2, "honeypot_semantic_filled", 45, "high", "trap_filled", {"field": "semantic"}),
-        Rule(3, "honeypot_time_trap", 30, "medium", "trap_filled", {"field": "time_trap"}),
+        Rule(1, "honeypot_text_filled", 50, "high", "trap_filled", {"field": "website_url"}),
+        Rule(2, "honeypot_semantic_filled", 45, "high", "trap_filled", {"field": "company_code"}),
+        Rule(3, "honeypot_time_trap", 30, "medium", "trap_filled", {"field": "security_token"}),
         Rule(4, "rapid_submission", 25, "medium", "rapid_submit", {"threshold_ms": 2000}),
         Rule(5, "suspicious_user_agent", 15, "low", "pattern_match", {"field": "user_agent", "patterns": ["bot", "crawler", "scraper", "curl", "wget"]}),
         Rule(6, "repeated_signature", 20, "medium", "repeated_pattern", {"threshold": 10}),

@@ -24,4 +24,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from millrace.plans import olap_queries, relational_queries, skew_queries  # noqa: E402, F401
+from millrace.plans import mining_queries, olap_queries, relational_queries, rule_queries, skew_queries, text_queries  # noqa: E402, F401
