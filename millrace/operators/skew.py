@@ -80,30 +80,30 @@ def exact_quantiles(df: DataFrame, key: str, value: str, probs: Sequence[float],
     gathered. A 64-bit range takes at most eight rounds. Null values take no part; a key without values has no row.
     """
     spark = df.sparkSession
-    rows = materialize(df.select(F.col(key), F.col(value).cast("long").alias("_v")).dropna(), "quantile-rows")
-    counts = materialize(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")), "quantile-keys")
+    rows = materialize(df.select(F.col(key).alias("_key"), F.col(value).cast("long").alias("_v")).dropna(), "quantile-rows")
+    counts = materialize(rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")), "quantile-keys")
     total = counts.agg(F.sum("_n")).first()[0] or 0
     ps = sorted(set(probs))
     prob_col = F.explode(F.array(*[F.lit(float(p)) for p in ps])).alias("prob")
     hot = counts.where(F.col("_n") * share > total).limit(share)
-    cold_rows = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
-    w = Window.partitionBy(key)
-    ranked = cold_rows.select(key, "_v", F.row_number().over(w.orderBy("_v")).alias("_r"), F.count(F.lit(1)).over(w).alias("_n"))
+    cold_rows = rows.join(F.broadcast(hot.select("_key")), "_key", "left_anti")
+    w = Window.partitionBy("_key")
+    ranked = cold_rows.select("_key", "_v", F.row_number().over(w.orderBy("_v")).alias("_r"), F.count(F.lit(1)).over(w).alias("_n"))
     rank = F.greatest(F.ceil(F.col("prob") * F.col("_n")), F.lit(1)).cast("long")
-    cold = ranked.select("*", prob_col).where(F.col("_r") == rank).select(key, "prob", F.col("_v").alias("value"))
+    cold = ranked.select("*", prob_col).where(F.col("_r") == rank).select("_key", "prob", F.col("_v").alias("value"))
 
     # Driver state: one interval for each (hot key, prob), fewer than share * len(probs).
-    state = {(r[key], p): [r["_lo"], r["_hi"], max(1, -int(-(p * r["_n"]) // 1))] for r in hot.collect() for p in ps}
+    state = {(r["_key"], p): [r["_lo"], r["_hi"], max(1, -int(-(p * r["_n"]) // 1))] for r in hot.collect() for p in ps}
     key_type = df.schema[key].dataType.simpleString()
-    hot_rows = materialize(rows.join(F.broadcast(hot.select(key)), key), "quantile-hot") if state else None
+    hot_rows = materialize(rows.join(F.broadcast(hot.select("_key")), "_key"), "quantile-hot") if state else None
     while open_ := {k: v for k, v in state.items() if v[0] < v[1]}:
         todo = [(k, p, Decimal(lo), Decimal(hi), Decimal(-(-(hi - lo + 1) // bins))) for (k, p), (lo, hi, _) in open_.items()]
-        todo = spark.createDataFrame(todo, f"k {key_type}, prob double, lo decimal(20,0), hi decimal(20,0), width decimal(20,0)")
-        joined = hot_rows.join(F.broadcast(todo), hot_rows[key] == todo["k"]).where("_v between lo and hi")
-        binned = joined.select("k", "prob", F.floor((F.col("_v").cast("decimal(20,0)") - F.col("lo")) / F.col("width")).cast("long").alias("bin"))
+        todo = spark.createDataFrame(todo, f"_key {key_type}, prob double, lo decimal(20,0), hi decimal(20,0), width decimal(20,0)")
+        joined = hot_rows.join(F.broadcast(todo), "_key").where("_v between lo and hi")
+        binned = joined.select("_key", "prob", F.floor((F.col("_v").cast("decimal(20,0)") - F.col("lo")) / F.col("width")).cast("long").alias("bin"))
         found: dict = {}
-        for r in binned.groupBy("k", "prob", "bin").count().collect():  # at most bins rows an interval
-            found.setdefault((r["k"], r["prob"]), []).append((r["bin"], r["count"]))
+        for r in binned.groupBy("_key", "prob", "bin").agg(F.count(F.lit(1)).alias("n")).collect():  # at most bins rows an interval
+            found.setdefault((r["_key"], r["prob"]), []).append((r["bin"], r["n"]))
         for k, (lo, hi, want) in open_.items():
             width, seen = -(-(hi - lo + 1) // bins), 0
             for b, n in sorted(found[k]):
@@ -111,8 +111,8 @@ def exact_quantiles(df: DataFrame, key: str, value: str, probs: Sequence[float],
                     state[k] = [lo + b * width, min(hi, lo + (b + 1) * width - 1), want - seen]
                     break
                 seen += n
-    solved = spark.createDataFrame([(k, p, v[0]) for (k, p), v in state.items()], f"{key} {key_type}, prob double, value long")
-    return cold.unionByName(solved)
+    solved = spark.createDataFrame([(k, p, v[0]) for (k, p), v in state.items()], f"_key {key_type}, prob double, value long")
+    return cold.unionByName(solved).withColumnRenamed("_key", key)
 
 
 def heavy_keys(df: DataFrame, key: str, weight: str | None = None, share: float = 0.02, bins: int = 4096) -> DataFrame:

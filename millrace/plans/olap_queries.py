@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import calendar
@@ -11,8 +11,12 @@ from millrace.operators import relational as rel
 from millrace.plans.registry import query
 from millrace.sources.tables import table
 
-#: Aggregate Columns of a tri-state label: null is unknown and never counts as 0.
-MEASURES = {"submissions": F.count(F.lit(1)), "labelled": F.count("honeypot_filled"), "hits": F.sum("honeypot_filled").cast("long")}
+
+def measures() -> dict[str, Column]:
+    """Aggregates of a tri-state label: null is unknown and never counts as 0."""
+    return {"submissions": F.count(F.lit(1)), "labelled": F.count("honeypot_filled"), "hits": F.sum("honeypot_filled").cast("long")}
+
+
 RATE = {"hit_rate": ("hits", "labelled")}
 _FACT = "(select *, timestamp at time zone 'UTC' ts from formtrap_spam_clean where timestamp is not null)"
 _AGG = "count(*) submissions, count(honeypot_filled) labelled, cast(sum(honeypot_filled) as bigint) hits"
@@ -24,7 +28,7 @@ def label_cube(spark: SparkSession, d: str) -> olap.Cube:
     facts = table(spark, d, "formtrap_spam_clean").where("timestamp is not null")
     parts = calendar.parts(F.col("timestamp"))
     dims = {k: parts[k] for k in ("year", "quarter", "month", "part_of_day")} | {"script": F.col("script"), "form_version": F.col("form_version")}
-    return olap.Cube.build(facts, dims, MEASURES, RATE)
+    return olap.Cube.build(facts, dims, measures(), RATE)
 
 
 def rounded(df: DataFrame) -> DataFrame:

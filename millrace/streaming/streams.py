@@ -43,10 +43,11 @@ def sliding_rate(stream: DataFrame, key: str, ts: str, width: str = "10 minutes"
     return stream.withWatermark(ts, delay).groupBy(key, F.window(ts, width, step).alias("w")).agg(F.count(F.lit(1)).alias("recent")).select(key, F.col("w.end").alias("until"), "recent")
 
 
-def exact_rate(stream: DataFrame, key: str, ts: str, row_id: str, minutes: int = 10) -> DataFrame:
+def exact_rate(stream: DataFrame, key: str, ts: str, row_id: str, minutes: int = 10, delay: str = "10 minutes") -> DataFrame:
     """``key, row_id, recent``: the exact trailing count of each row, itself included, by a buffer of recent times for each key.
 
-    The state of a key holds only the times of the last ``minutes``. Rows of a key are counted in event-time order within a batch.
+    The state of a key holds only the times of the last ``minutes`` and goes once the watermark has passed them. Rows of a key are
+    counted in event-time order within a batch. Rows without key or time are left out.
     """
     span = minutes * 60 * 1_000_000
 
@@ -55,19 +56,19 @@ def exact_rate(stream: DataFrame, key: str, ts: str, row_id: str, minutes: int =
             state.remove()
             return
         kept = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values(["_t", row_id])
+        rows = pd.concat(list(frames)).sort_values(["_us", row_id])
         out = []
-        for t in rows["_t"]:
+        for t in rows["_us"]:
             kept = [x for x in kept if x >= t - span]
             kept.append(int(t))
             out.append(sum(x <= t for x in kept))
         state.update((kept,))
-        state.setTimeoutDuration(2 * minutes * 60_000)
+        state.setTimeoutTimestamp(max((max(kept) + span) // 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({key: [k[0]] * len(rows), row_id: rows[row_id].to_numpy(), "recent": out})
 
     kinds = {n: t for n, t in stream.dtypes}
-    typed = stream.select(key, row_id, F.unix_micros(ts).alias("_t")).where(F.col(key).isNotNull() & F.col("_t").isNotNull())
-    return typed.groupBy(key).applyInPandasWithState(count, f"{key} {kinds[key]}, {row_id} {kinds[row_id]}, recent long", "times array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    typed = stream.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).withWatermark(ts, delay).select(key, row_id, ts, F.unix_micros(ts).alias("_us"))
+    return typed.groupBy(key).applyInPandasWithState(count, f"{key} {kinds[key]}, {row_id} {kinds[row_id]}, recent long", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def signatures(stream: DataFrame, text: str, ts: str) -> DataFrame:
