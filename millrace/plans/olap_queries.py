@@ -93,7 +93,7 @@ def latest_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""select period, grp, submissions, scored, trapped, is_total, is_subtotal from (select period, coalesce(risk_level, 'unscored') grp, count(*) submissions, count(score) scored,
- count_if(len(honeypot_hits) > 0) trapped, grouping_id(period, coalesce(risk_level, 'unscored')) = 3 is_total, grouping_id(period, coalesce(risk_level, 'unscored')) = 1 is_subtotal
+ count(*) filter (where len(honeypot_hits) > 0) trapped, grouping_id(period, coalesce(risk_level, 'unscored')) = 3 is_total, grouping_id(period, coalesce(risk_level, 'unscored')) = 1 is_subtotal
  from {_SCORED} group by rollup (period, coalesce(risk_level, 'unscored')))""")
 def olap_left_join_rollup(spark: SparkSession, d: str) -> DataFrame:
     """Submissions by month and risk, with subtotals; those without a score stay as ``unscored``."""
@@ -107,7 +107,7 @@ def olap_left_join_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _timeline_sql(fmt: str, since: str) -> str:
-    return f"""select strftime(created_at at time zone 'UTC', '{fmt}') as date, count(*) total, count_if(len(honeypot_hits) > 0) honeypot_triggered from submissions
+    return f"""select strftime(created_at at time zone 'UTC', '{fmt}') as date, count(*) total, count(*) filter (where len(honeypot_hits) > 0) honeypot_triggered from submissions
  where created_at at time zone 'UTC' between timestamp '2024-07-01 00:00:00' - interval '{since}' and timestamp '2024-07-01 00:00:00' group by 1"""
 
 
