@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,11 +46,15 @@ def _digits() -> np.ndarray:
 
 def windows(cps: np.ndarray, size: int) -> np.ndarray:
     """A 64-bit hash of each run of ``size`` code points."""
-    n = len(cps) - size + 1
+    x = (cps.astype(np.uint64) + np.uint64(1)) * _MULTIPLIER
+    return _runs(x ^ (x >> np.uint64(29)), size)
+
+
+def _runs(x: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of ``size`` of the mixed values ``x``."""
+    n = len(x) - size + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    x = (cps.astype(np.uint64) + np.uint64(1)) * _MULTIPLIER
-    x ^= x >> np.uint64(29)
     h = np.full(n, size, np.uint64)
     for k in range(size):
         h = h * np.uint64(0x100000001B3) + x[k : k + n]
@@ -173,3 +179,92 @@ def leaks(corpus: DataFrame, doc_col: str, text_col: str, items: DataFrame, item
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(its, pa.int64()), pa.array(runs, pa.int32()), pa.array(whole)], ["doc", "item", "run", "verbatim"])
 
     return joined.select("doc", "doc_text", "item", "text", "lang").mapInArrow(verify, "doc long, item long, run int, verbatim boolean").distinct()
+
+
+#: A window of words with typed placeholders, and how many of its words must be plain.
+WORDS, PLAIN = 8, 4
+#: Units that may follow a number.
+UNITS = frozenset(
+    """metre metres meter meters centimetre centimetres millimetre millimetres kilometre kilometres km cm mm kilo kilos kilogram kilograms kg gram grams g litre litres second seconds minute
+    minutes hour hours day days week weeks month months year years dollar dollars euro euros percent kb mb gb segundos segundo minutos horas días semanas meses años pesos metros centímetros
+    sekunden minuten stunden tage wochen monate jahre meter zentimeter секунд секунды минут часов дней недель месяцев лет рублей метров""".split()
+)
+_TOKEN = re.compile(r"[㐀-鿿]|[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+(?:[.,]\d+)*|[.!?。！？]")
+
+
+def typed_words(text: str) -> tuple[list[str], list[str]]:
+    """(words, slots): numbers, units behind numbers and names as ``<N>``, ``<U>``, ``<P>`` with their value as slot, else lower case.
+
+    A name is a capitalised word that doesn't begin a sentence, or a short code in capitals.
+    """
+    words, slots, start, number = [], [], True, False
+    for token in _TOKEN.findall(text):
+        low = token.lower()
+        if token in ".!?。！？":
+            start = True
+            continue
+        if token[0].isdecimal():
+            words.append("<N>")
+            slots.append(token)
+        elif number and low in UNITS:
+            words.append("<U>")
+            slots.append(low)
+        elif token[0].isupper() and (not start or (token.isupper() and len(token) == 2)):
+            words.append("<P>")
+            slots.append(low)
+        else:
+            words.append(low)
+            slots.append("")
+        start, number = False, token[0].isdecimal()
+    return words, slots
+
+
+def _template_rows(df: DataFrame, id_col: str, text_col: str, only: object = None) -> DataFrame:
+    """``id, h, slots``: the word windows of each text, with their slot values; ``only`` as in :func:`window_rows`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        want = only.value if only is not None else None
+        code: dict[str, int] = {}
+        for batch in batches:
+            ids, hashes, slots = [], [], []
+            for i, text in zip(batch.column("id").to_pylist(), batch.column("t").to_pylist()):
+                if not text or i is None:
+                    continue
+                words, values = typed_words(text)
+                if len(code) > 500_000:
+                    code.clear()
+                x = np.array([code[w] if w in code else code.setdefault(w, int.from_bytes(hashlib.blake2b(w.encode("utf-8", "replace"), digest_size=8).digest(), "little")) for w in words], np.uint64)
+                h = _runs(x, WORDS)
+                if not len(h):
+                    continue
+                typed = np.array([bool(v) for v in values])
+                good = WORDS - np.convolve(typed, np.ones(WORDS, int), "valid") >= PLAIN
+                if want is not None:
+                    good &= len(want) > 0 and want[np.minimum(np.searchsorted(want, h), len(want) - 1)] == h
+                for k in np.flatnonzero(good):
+                    ids.append(i)
+                    hashes.append(h[k])
+                    slots.append([v for v in values[k : k + WORDS] if v])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(slots, pa.list_(pa.string()))], ["id", "h", "slots"])
+
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, h long, slots array<string>")
+
+
+def reparameterised(corpus: DataFrame, doc_col: str, text_col: str, items: DataFrame, item_col: str, item_text: str) -> DataFrame:
+    """``doc, item, changed``: documents with a window of an item's template whose slots hold other values, each put in consistently.
+
+    Windows of WORDS words with typed placeholders are hash-joined. Of all windows a pair shares, every slot value of the item
+    must stand for one value of the document, else the match is by chance; ``changed`` counts the values that differ. Names
+    need their capitals and spaces between words: texts in one case or in Chinese match by numbers and units only.
+    """
+    spark = corpus.sparkSession
+    bank = materialize(_template_rows(items, item_col, item_text).select(F.col("id").alias("item"), "h", F.col("slots").alias("a")).distinct(), "templates")
+    wanted = bank.select("h").distinct()
+    only = None
+    if wanted.count() <= MAX_WINDOWS:
+        only = spark.sparkContext.broadcast(np.sort(np.array([r["h"] for r in wanted.collect()], np.int64).view(np.uint64)))
+    found = materialize(_template_rows(corpus, doc_col, text_col, only).select(F.col("id").alias("doc"), "h", F.col("slots").alias("b")), "template-windows")
+    slots_ = found.join(bank, "h").select("doc", "item", F.explode(F.arrays_zip("a", "b")).alias("s"))
+    values = slots_.groupBy("doc", "item", F.col("s.a").alias("a")).agg(F.min("s.b").alias("lo"), F.max("s.b").alias("hi"))
+    pairs = values.groupBy("doc", "item").agg(F.bool_and(F.col("lo") == F.col("hi")).alias("fits"), F.count_if(F.col("a") != F.col("lo")).alias("changed"))
+    return pairs.where("fits and changed > 0").select("doc", "item", "changed")

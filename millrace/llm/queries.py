@@ -207,3 +207,29 @@ def p1_masked(spark: SparkSession, d: str) -> DataFrame:
     from millrace.llm.personal_data import mask
 
     return mask(table(spark, d, "submissions").select("id", "raw_payload", "normalized_text"), "id").withColumnRenamed("id", "submission_id")
+
+
+@query
+def p9_reparameterised(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that ask an item's question with other numbers, units or names."""
+    from millrace.llm.leakage import reparameterised
+
+    found = reparameterised(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "changed")
+
+
+@query
+def p2_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Each text's languages with a confidence; mixed texts have a row for each."""
+    from millrace.llm import languages as lg
+
+    found = lg.detect(language_records(spark, d), table(spark, d, "lang_samples"))
+    return found.select("tab", F.col("id").alias("rec_id"), F.explode("languages").alias("l")).select("tab", "rec_id", "l.label", F.round("l.confidence", 4).alias("confidence"), "l.letters")
+
+
+@query
+def p7_unified(spark: SparkSession, d: str) -> DataFrame:
+    """Every text in its one form."""
+    from millrace.llm.lookalikes import unify
+
+    return unify(table(spark, d, "submissions"), "id", "normalized_text").select("id", "text")

@@ -61,3 +61,17 @@ def test_leaks_equal_brute_force(spark):
 @pytest.mark.parametrize(("a", "b", "n", "want"), [("abcdef", "xcdey", 3, 3), ("abc", "abd", 3, 0), ("", "a", 1, 0), ("aaaa", "aaa", 2, 3)])
 def test_longest_shared(a, b, n, want):
     assert leakage.longest_shared(reduce_text(a), reduce_text(b), n) == want
+
+
+def test_reparameterised_questions(spark):
+    bank = spark.createDataFrame([(1, "A clerk sorts 67 letters for Firgor and then hands GN-25 to Firgor unopened today."), (2, None), (3, "short")], "i long, t string")
+    docs = [
+        "Note. A clerk sorts 12 letters for Maro and then hands ZK-77 to Maro unopened today.",  # other values, put in consistently
+        "A clerk sorts 12 letters for Maro and then hands ZK-77 to Tivo unopened today.",  # one name stands for two
+        "A clerk sorts 67 letters for Firgor and then hands GN-25 to Firgor unopened today.",  # verbatim
+        "Nothing of the kind is written here at all, dear reader.", None, "",
+    ]
+    corpus = spark.createDataFrame([(k, t) for k, t in enumerate(docs)], "d long, t string")
+    assert [(r["doc"], r["item"]) for r in leakage.reparameterised(corpus, "d", "t", bank, "i", "t").collect()] == [(0, 1)]
+    assert leakage.reparameterised(corpus.limit(0), "d", "t", bank, "i", "t").count() == 0
+    assert leakage.reparameterised(corpus, "d", "t", bank.limit(0), "i", "t").count() == 0
