@@ -89,9 +89,11 @@ class Mahalanobis:
 
     def distance(self, label: object) -> Column:
         mean, inverse = self.classes[label]
-        centred = [F.element_at(self.x, i + 1).cast("double") - float(mean[i]) for i in range(self.size)]
-        total = sum((centred[i] * centred[j] * float(inverse[i, j]) for i in range(self.size) for j in range(self.size)), F.lit(0.0))
-        return F.sqrt(F.greatest(total, F.lit(0.0)))
+        literal = lambda values: F.array(*[F.lit(float(v)) for v in values])
+        total = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+        centred = F.zip_with(F.col(self.x), literal(mean), lambda x, m: x.cast("double") - m)
+        turned = F.transform(F.array(*[literal(row) for row in inverse]), lambda row: total(row, centred))
+        return F.sqrt(F.greatest(total(turned, centred), F.lit(0.0)))
 
     def transform(self, df: DataFrame, key: str) -> DataFrame:
         """``key, prediction, decision``: decision is the first class's distance less the second's."""
