@@ -49,6 +49,8 @@ _NUMBER_AT_LINE_START = regex.compile(r"(?:^|[\n\r\u0085  ])[\s>]*\d{1,3}\Z"
 _QUOTE = regex.compile(r"""[()\[\]{}（）「」『』【】《》〈〉“”„«»‹›"‟]|(?<=[\s(\[>:]|^)'(?=\S)|(?<=\S)'(?=[\s.,;:!?)\]]|\Z)""")
 _PAIRS = dict(zip("([{（「『【《〈“«‹", ")]}）」』】》〉”»›"))
 _CLOSERS = {v: k for k, v in _PAIRS.items()}
+#: Symbols with an end mark of their own still belong to the sentence before.
+_SYMBOL_END = regex.compile(r"[\p{So}\p{Sk}][\p{So}\p{Sk}\p{Cf}\p{M}]*[\p{Sentence_Break=STerm}\p{Sentence_Break=ATerm}…]")
 _WIDE = set("。！？｡．")
 _JA_GOES_ON = set("とっはがをにのもで、")
 
@@ -171,6 +173,8 @@ def _paragraph(text: str, lo: int, hi: int, out: list[tuple[int, int]]) -> None:
         after = _GAP.match(p, end).end()
         if after >= len(p):
             continue
+        if _SYMBOL_END.match(p, after):
+            continue
         # what the next sentence would begin with
         k = after
         while k < len(p) and (p[k] in _PAIRS or p[k] in "\"'„‚‘”»"):

@@ -10,6 +10,7 @@ CASES = [
     "Am 9. März kam Nr. 4 an.|Der Wert stieg z. B. von 2,5 auf 7.25 Punkte.|Gut.",
     "«Не платите. Это ловушка», — написал хозяин.|И. П. Иванов живёт в д. 69 на пл. Мира с 2019 г. и не жалуется.",
     "« Vraiment ? » demanda le gardien.|M. Petit habite au n. 28 de la rue Haute depuis 2019.|Bien.",
+    'What did he mean by "hello"? 🙂!|Next one.',
     "¿Hay clases?|¡¿Quién abrió?!|El Sr. Paz vive en la Avda. Larga núm. 89.",
 ]
 
