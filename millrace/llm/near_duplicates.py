@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import reduced
@@ -19,8 +19,10 @@ SHINGLE, THRESHOLD, MIN_LENGTH = 8, 0.6, 120
 #: Trees, children of a record at each node, levels, and the size up to which a node's records are all compared. Paths are
 #: chosen from runs of TOKEN characters: longer than shingles, so that unrelated records seldom meet.
 TREES, CHILDREN, LEVELS, LEAF, TOKEN = 7, 2, 3, 8, 24
-#: Nodes that no level splits are compared in chunks of about this many records.
-CHUNK = 16
+#: Nodes that no level splits are compared block by block, every block with every other; blocks have about this many records.
+BLOCK = 64
+#: Words of 64 bits in the sketch of a record.
+SKETCH = 8
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -123,11 +125,56 @@ def _sized(rows: DataFrame, label: str) -> DataFrame:
     return materialize(hot_aware_join(rows, materialize(nodes, f"{label}-nodes"), ["node"], "n", max(rows.count(), 1)), f"{label}-sized")
 
 
-def _all_pairs(rows: DataFrame, *keys: str) -> DataFrame:
-    """Pairs ``a < b`` of records of different ``label`` within small groups."""
-    lists = rows.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct("did", "label"))).alias("s"))
-    one = lists.select(F.posexplode("s").alias("i", "x"), "s").select("x", F.explode(F.slice("s", F.col("i") + 2, F.greatest(F.size("s") - F.col("i") - 1, F.lit(0)))).alias("y"))
-    return one.where("x.label <> y.label").select(F.col("x.did").alias("a"), F.col("y.did").alias("b"))
+def _sketches(docs: DataFrame) -> DataFrame:
+    """``did, size, s``: the number of distinct shingles of a record, and for each hash class of shingles whether their number is odd."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            sizes, words = np.empty(len(texts), np.int32), np.empty((len(texts), SKETCH), np.int64)
+            for i, text in enumerate(texts):
+                found = shingles(text)
+                sizes[i] = len(found)
+                odd = np.bincount((found >> np.uint64(40)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+                words[i] = np.packbits(odd.astype(np.uint8)).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * SKETCH, pa.int32()), pa.array(words.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("did"), pa.array(sizes), lists], ["did", "size", "s"])
+
+    return materialize(docs.select("did", "text").mapInArrow(run, "did long, size int, s array<long>"), "sketches")
+
+
+def _may_be_similar(x: str, y: str) -> Column:
+    """False only for records that cannot be similar.
+
+    Records that share a part t of all their shingles differ in (1 - t) / (1 + t) of the sum of their sizes, and sketches
+    differ in no more places than records differ in shingles.
+    """
+    differ = sum((F.bit_count(F.col(f"{x}s")[k].bitwiseXOR(F.col(f"{y}s")[k])) for k in range(SKETCH)), F.lit(0))
+    # a hair above the bound, so that rounding loses nothing
+    return differ <= (F.col(f"{x}size") + F.col(f"{y}size")) * F.lit((1 - THRESHOLD) / (1 + THRESHOLD) + 1e-9)
+
+
+def _open_pairs(open_: DataFrame, sketches: DataFrame) -> DataFrame:
+    """All pairs ``a < b`` that meet in a node of ``open_`` (``node, did, label``), have different labels and may be similar.
+
+    Larger nodes are cut into blocks, and every two blocks meet, except two of the node's largest class, which is one already.
+    """
+    classes = open_.groupBy("node", "label").agg(F.count(F.lit(1)).alias("m"))
+    split = classes.groupBy("node").agg(F.sum("m").alias("c"), F.count(F.lit(1)).alias("k"), F.max("m").alias("m"), F.max_by("label", F.struct("m", "label")).alias("main")).where("k > 1 and c > 2").drop("k")
+    split = materialize(split, "split")
+    rows = hot_aware_join(open_, split, ["node"], "c", max(open_.count(), 1)).join(sketches, "did")
+    mains, others = F.ceil(F.col("m") / BLOCK), F.ceil((F.col("c") - F.col("m")) / BLOCK)
+    is_main, small = F.col("label") == F.col("main"), F.col("c") <= BLOCK
+    h = F.xxhash64("did")
+    block = F.when(small, F.lit(0)).when(is_main, F.pmod(h, mains)).otherwise(mains + F.pmod(h, others)).cast("int")
+    meets = F.sequence(F.when(~small & is_main, mains).otherwise(0).cast("int"), F.when(small, F.lit(0)).otherwise(mains + others - 1).cast("int"))
+    rows = rows.select("node", "did", "label", "size", "s", block.alias("block"), F.explode(meets).alias("other"))
+    rows = rows.select("node", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), F.struct("did", "label", "block", "size", "s").alias("r"))
+    lists = rows.groupBy("node", "lo", "hi").agg(F.collect_list("r").alias("l"))
+    first = lists.select("lo", "hi", F.posexplode("l").alias("i", "x"), "l")
+    both = first.select("lo", "hi", "x", F.explode(F.slice("l", F.col("i") + 2, F.greatest(F.size("l") - F.col("i") - 1, F.lit(0)))).alias("y"))
+    both = both.where("x.label <> y.label and (lo = hi or x.block <> y.block)").where(_may_be_similar("x.", "y."))
+    return both.select(F.least("x.did", "y.did").alias("a"), F.greatest("x.did", "y.did").alias("b")).distinct()
 
 
 def final_nodes(docs: DataFrame) -> DataFrame:
@@ -182,18 +229,16 @@ def near_duplicates(df: DataFrame, group: str, id_col: str, text_col: str) -> Da
     rows = materialize(rows.select("*", *digest(F.col("group"), F.col("text"))), "reduced")
     docs = rows.groupBy("group", "k1", "k2").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"))
     docs = materialize(docs.withColumn("did", F.monotonically_increasing_id()), "docs")
-    nodes = final_nodes(docs)
-    pairs = materialize(nodes.where("did <> low").select(F.col("low").alias("a"), F.col("did").alias("b")).distinct(), "pairs")
+    nodes, sketches = final_nodes(docs), _sketches(docs)
+    stars = nodes.where("did <> low").select(F.col("low").alias("a"), F.col("did").alias("b")).distinct()
+    for side in ("a", "b"):
+        stars = stars.join(sketches.select(F.col("did").alias(side), F.col("size").alias(f"{side}_size"), F.col("s").alias(f"{side}_s")), side)
+    pairs = materialize(stars.where(_may_be_similar("a_", "b_")).select("a", "b"), "pairs")
     links = similar_pairs(pairs, docs)
     labels = minimum_labels(links)
-    # all records of a node that its smallest record did not bring together are compared; large nodes in chunks
-    open_ = nodes.join(labels, nodes["did"] == labels["node"], "left").select(nodes["node"], "did", "n", F.coalesce("label", "did").alias("label"))
-    open_ = materialize(open_, "open")
-    split = open_.groupBy("node").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("c")).where("x <> y and c > 2").select("node")
-    chunk = F.when(F.col("n") > LEAF, F.pmod(F.xxhash64("did"), F.ceil(F.col("n") / CHUNK))).otherwise(0)
-    chunked = open_.join(split, "node", "left_semi").select("node", "did", "label", chunk.alias("chunk"))
-    # such pairs have agreed in no star; they are compared if they meet in two nodes, as nearly all similar ones do
-    met = _all_pairs(chunked, "node", "chunk").groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
+    # all records of a node that are not yet of one class are compared
+    open_ = nodes.join(labels, nodes["did"] == labels["node"], "left").select(nodes["node"], "did", F.coalesce("label", "did").alias("label"))
+    met = _open_pairs(materialize(open_, "open"), sketches)
     more = materialize(met.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
     if not more.isEmpty():
         links = links.union(similar_pairs(more, docs))

@@ -87,3 +87,32 @@ def test_near_duplicates_equal_brute_force(spark):
     want = {i: min(g) for g in groups.values() if len(g) > 1 for i in g}
     assert sum(want.get(i) != got.get(i) for i in set(want) | set(got)) <= 0.01 * len(want)
     assert nd.near_duplicates(df.limit(0), "tab", "id", "text").count() == 0
+
+
+def linked(texts):
+    """Brute force: the smallest index of each text's set."""
+    sets = [{t[k : k + 8] for k in range(len(t) - 7)} for t in texts]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])]
+    find = union(links, range(len(sets)))
+    groups = defaultdict(list)
+    for i in range(len(sets)):
+        groups[find(i)].append(i)
+    return {i: min(g) for g in groups.values() if len(g) > 1 for i in g}
+
+
+def test_near_duplicates_of_one_node_are_all_compared(spark, monkeypatch):
+    """Similar records that meet in a single node, whose smallest record is unlike them, are found; in small and large nodes."""
+    r = random.Random(9)
+    new = lambda n: "".join(r.choice("abcdefghijklmnopqrst") for _ in range(n))
+    for families in (2, 90):
+        texts = [new(200)] + [t for _ in range(families) for base in [new(240)] for t in (base, base[:60] + new(20) + base[80:])]
+        texts += [base[:k] + "z" + base[k + 1 :] for base in [new(300)] for k in range(families)]
+        df = spark.createDataFrame([("t", i, t) for i, t in enumerate(texts)], "tab string, id long, text string")
+        from pyspark.sql import functions as F
+
+        def one_node(docs):
+            low = docs.agg(F.min("did").alias("low"), F.count(F.lit(1)).alias("n"))
+            return docs.select(F.lit(1).cast("long").alias("node"), "did").join(low).select("node", "did", "n", "low")
+
+        monkeypatch.setattr(nd, "final_nodes", one_node)
+        assert {x["id"]: x["rep_id"] for x in nd.near_duplicates(df, "tab", "id", "text").collect()} == linked(texts)
