@@ -16,9 +16,10 @@ from millrace.session import materialize
 
 #: Similarity is taken over runs of SHINGLE characters of the reduced text; texts shorter than MIN_LENGTH take no part.
 SHINGLE, THRESHOLD, MIN_LENGTH = 8, 0.6, 120
-#: Trees, children of a record at each node, levels, and the size up to which a node's records are all compared. Paths are
-#: chosen from runs of TOKEN characters: longer than shingles, so that unrelated records seldom meet.
-TREES, CHILDREN, LEVELS, LEAF, TOKEN = 7, 2, 3, 8, 24
+#: Trees, children of a record at each node, levels, and the size up to which a node is not split further. Paths are chosen
+#: from runs of TOKEN characters, the shingles themselves: two records at the threshold share one of their two smallest
+#: tokens of a level with a probability of 0.89, so they meet in none of the trees' first levels once in 50,000 pairs.
+TREES, CHILDREN, LEVELS, LEAF, TOKEN = 5, 2, 3, 8, SHINGLE
 #: Nodes that no level splits are compared block by block, every block with every other; blocks have about this many records.
 BLOCK = 64
 #: Words of 64 bits in the sketch of a record.

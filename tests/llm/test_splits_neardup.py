@@ -116,3 +116,19 @@ def test_near_duplicates_of_one_node_are_all_compared(spark, monkeypatch):
 
         monkeypatch.setattr(nd, "final_nodes", one_node)
         assert {x["id"]: x["rep_id"] for x in nd.near_duplicates(df, "tab", "id", "text").collect()} == linked(texts)
+
+
+def test_near_duplicates_just_above_the_threshold(spark):
+    """Isolated pairs whose edits are spread evenly (one in 34 characters: similarity 0.61 to 0.65) are all found."""
+    r = random.Random(5)
+    texts = []
+    for k in range(300):
+        base = [r.choice("abcdefghijklmnopqrst") for _ in range(240 if k % 2 else 480)]
+        copy = list(base)
+        for i in range(33, len(base), 34):
+            copy[i] = "z"
+        texts += ["".join(base), "".join(copy)]
+    df = spark.createDataFrame([("t", i, t) for i, t in enumerate(texts)], "tab string, id long, text string")
+    want = {i: i - i % 2 for i in range(len(texts))}
+    assert all(nd.similarity(nd.shingles(texts[i]), nd.shingles(texts[i + 1])) >= nd.THRESHOLD for i in range(0, len(texts), 2))
+    assert {x["id"]: x["rep_id"] for x in nd.near_duplicates(df, "tab", "id", "text").collect()} == want
