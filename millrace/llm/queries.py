@@ -127,7 +127,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     from millrace.llm.sentences import sentences
 
-    return sentences(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+    return sentences(table(spark, d, "documents"), "doc_id", "text", "lang").withColumnRenamed("id", "doc_id")
 
 
 def own_words(s: DataFrame) -> DataFrame:

@@ -11,6 +11,10 @@ CASES = [
     "«Не платите. Это ловушка», — написал хозяин.|И. П. Иванов живёт в д. 69 на пл. Мира с 2019 г. и не жалуется.",
     "« Vraiment ? » demanda le gardien.|M. Petit habite au n. 28 de la rue Haute depuis 2019.|Bien.",
     'What did he mean by "hello"? 🙂!|Next one.',
+    "Je ne sais pas qui il est.|Elle non plus.|Nous avons fini en av.|Il est tard.",
+    "So do I.|He left.|Take vitamin C.|It helps.|I love art.|5 people came.|See Art. 5 of it.",
+    "Written by J. R. R. Tolkien and Smith et al. in 1954.|It is from the U.S.|5 people came.",
+    "Die Fa. Meier u. Co. in der Langen Str. 138 hat geschlossen.|Der Zug fährt nach z. B. Ulm.",
     "¿Hay clases?|¡¿Quién abrió?!|El Sr. Paz vive en la Avda. Larga núm. 89.",
 ]
 
@@ -38,6 +42,22 @@ def test_scripts_and_units(text, want):
     assert [text[a : a + n] for a, n in split(text)] == want
 
 
+def test_language_of_the_place_decides():
+    """A foreign passage keeps its own abbreviations, and a label serves where no word tells the language."""
+    text = "Ремонт был на ул. Мира.\n\nLa Dra. Paz revisó aprox. 34 mensajes el 3 de marzo.\n\nMme. Petit habite au n. 28 de la rue depuis 2019."
+    assert [text[a : a + n] for a, n in split(text)] == text.split("\n\n")
+    assert len(split("Gr. Tel. Hr. Maier", "de")) < len(split("Gr. Tel. Hr. Maier", "en"))
+
+
+@pytest.mark.parametrize("unit", ['He said "no. yes" and left. ', '"a." b ', "(a. B ", ") a. B "])
+def test_time_grows_with_length(unit):
+    import time
+
+    began = time.time()
+    split(unit * (200_000 // len(unit)))
+    assert time.time() - began < 2
+
+
 def test_operator(spark):
     df = spark.createDataFrame([(1, "Hi. \U0001f600 Go on. Bye", 5), (2, None, 5), (3, "", 5), (4, "x. Y " * 20_000, 5), (1, "Hi.", 5)], "id long, text string, sent_len int")
     got = sentences(df, "id", "text").collect()
