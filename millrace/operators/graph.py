@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.skew import hot_aware_join
-from millrace.session import materialize
+from millrace.session import materialize, release
 
 
 def minimum_labels(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -24,15 +24,16 @@ def minimum_labels(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if n == 0:
             break
         # large star: larger neighbours of u are linked to the smallest node next to u
-        both = materialize(edges.union(edges.select("v", "u")), "both")
-        small = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-        large = hot_aware_join(both, materialize(small, "smallest"), ["u"], "n", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        both = edges.union(edges.select("v", "u"))
+        small = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")), "smallest")
+        large = hot_aware_join(both, small, ["u"], "n", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialize(large, "large")
         # small star: smaller neighbours of u, and u, are linked to the smallest of them
         low = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "low")
         joined = hot_aware_join(large, low, ["u"], "n", max(n, 1))
         new = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = materialize(new, "edges")
+        old, edges = edges, materialize(new, "edges")
+        release(old, small, large, low)
         state = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         n = state[0]
         if state == seen:

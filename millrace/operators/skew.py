@@ -19,11 +19,18 @@ def hot_aware_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], coun
 
     Keys with more than total/share rows are fewer than ``share``, whatever the data: they are joined by broadcast, so their
     rows stay where they are. The others are joined by a shuffle in which no key exceeds total/share rows. Null keys match
-    nothing. ``rows`` is read twice and should be cheap to read.
+    nothing. ``total`` is at least the sum of all counts (a smaller one that makes more keys hot than ``share`` is an error).
+    ``lookup`` is read up to three times, ``rows`` twice if there are hot keys; both should be cheap to read.
     """
     keys = list(keys)
-    hot = F.broadcast(lookup.where(F.col(count) * share > total).limit(share))
-    cold = lookup.where(F.col(count) * share <= total)
+    is_hot = F.col(count) * share > total
+    n = lookup.where(is_hot).count()
+    if n == 0:
+        return rows.join(lookup, keys)
+    if n > share:
+        raise ValueError(f"{n} keys hold more than 1/{share} of {total} rows each: total is too small")
+    hot = F.broadcast(lookup.where(is_hot))
+    cold = lookup.where(~is_hot)
     few = rows.join(hot, keys)
     rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
     return few.unionByName(rest)

@@ -43,12 +43,45 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_LOCAL[app]}"
 
 
+_STAGES: dict[str, list[str]] = {}
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once into the shared folder and read it back: lineage is cut and a lost executor costs nothing.
 
-    Parquet rather than a checkpoint, so that later readers fetch only the columns they use.
+    Parquet rather than a checkpoint, so that later readers fetch only the columns they use. :func:`release` removes the stage
+    once nothing reads it any more; stages that are left are removed when the program ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/millrace/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    app = spark.sparkContext.applicationId
+    if app not in _STAGES:
+        atexit.register(_remove_left, spark, app)
+    _STAGES.setdefault(app, []).append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stage_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(*stages: DataFrame) -> None:
+    """Remove materialized stages that no later job reads, nor recomputes from."""
+    for df in stages:
+        path = df.__dict__.pop("stage_path", None)
+        if path:
+            spark = df.sparkSession
+            _STAGES[spark.sparkContext.applicationId].remove(path)
+            _delete(spark, path)
+
+
+def _remove_left(spark: SparkSession, app: str) -> None:
+    try:
+        for path in _STAGES.pop(app, []):
+            _delete(spark, path)
+    except Exception:  # noqa: BLE001  the session has ended before
+        pass
