@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,20 +14,48 @@ from pyspark.sql import functions as F
 from millrace.llm.common import reduced
 from millrace.operators.graph import minimum_labels
 from millrace.operators.skew import digest, hot_aware_join
-from millrace.session import materialize
+from millrace.session import materialize, release
 
 #: Similarity is taken over runs of SHINGLE characters of the reduced text; texts shorter than MIN_LENGTH take no part.
 SHINGLE, THRESHOLD, MIN_LENGTH = 8, 0.6, 120
-#: Trees, children of a record at each node, levels, and the size up to which a node is not split further. Paths are chosen
-#: from runs of TOKEN characters, the shingles themselves: two records at the threshold share one of their two smallest
-#: tokens of a level with a probability of 0.89, so they meet in none of the trees' first levels once in 50,000 pairs.
-TREES, CHILDREN, LEVELS, LEAF, TOKEN = 5, 2, 3, 8, SHINGLE
-#: Nodes that no level splits are compared block by block, every block with every other; blocks have about this many records.
-BLOCK = 64
-#: Words of 64 bits in the sketch of a record.
-SKETCH = 8
+#: Children of a record at each node, the deepest level, the size up to which a node is always compared in full, and the share
+#: of pairs at THRESHOLD that must meet in a final node even if every node on their way is too large to be compared.
+CHILDREN, LEVELS, LEAF, RECALL = 2, 5, 8, 0.99
+#: Blocks by which large nodes are compared have about this many records; a record has no more partners in one task than PART.
+BLOCK, PART = 64, 20_000
+#: Minwise values of a record, and the share of pairs at THRESHOLD that the comparison of signatures may lose.
+BINS, LOST = 64, 1e-4
+
+
+def survival(levels: int, similarity: float = THRESHOLD) -> float:
+    """Probability that two records of this similarity meet at a node ``levels`` levels down one tree.
+
+    They share each of the CHILDREN children of a node they share independently with that probability.
+    """
+    s = 1.0
+    for _ in range(levels):
+        s = 1 - (1 - similarity * s) ** CHILDREN
+    return s
+
+
+#: Independent trees, as many as RECALL needs.
+TREES = math.ceil(math.log(1 - RECALL) / math.log(1 - survival(LEVELS)))
+assert TREES * LEVELS * CHILDREN <= BINS and (LEVELS - 1) * CHILDREN * 8 <= 64
+
+
+def least_equal() -> int:
+    """How many of the BINS two-bit signatures of a pair must be equal: a pair at THRESHOLD has fewer with probability LOST at most."""
+    p, below = THRESHOLD + (1 - THRESHOLD) / 4, 0.0
+    for k in range(BINS + 1):
+        below += math.comb(BINS, k) * p**k * (1 - p) ** (BINS - k)
+        if below > LOST:
+            return k
+    return BINS
+
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
+_PAIRS = 0x5555555555555555
 
 
 def _spread(h: np.ndarray, step: int) -> np.ndarray:
@@ -69,137 +99,159 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def minwise(texts: list[str]) -> np.ndarray:
-    """For each text, tree and level the CHILDREN smallest hashes of its tokens: texts x trees x levels x children."""
-    out = np.empty((len(texts), TREES, LEVELS, CHILDREN), np.uint64)
+    """BINS minwise values of each text: the smallest hash of the shingles of each hash class, borrowed from the next class where one is empty."""
+    out = np.full((len(texts), BINS), _TOP)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     cut = np.searchsorted(np.cumsum(sizes), np.arange(1, int(sizes.sum()) // 1_000_000 + 1) * 1_000_000)
     for lo, hi in zip([0, *cut], [*cut, len(texts)]):
         if lo >= hi:
             continue
         n = sizes[lo:hi]
-        cps = np.frombuffer("".join(texts[lo:hi]).encode("utf-32-le", "surrogatepass"), np.uint32)
-        h = run_hashes(cps, TOKEN)
-        ends = np.cumsum(n)
-        starts = ends - n
-        within = np.arange(len(cps)) - np.repeat(starts, n)
-        crossing = within > np.repeat(np.maximum(n - TOKEN, 0), n)
-        rng = np.random.default_rng(7)
-        for tree in range(TREES):
-            for level in range(LEVELS):
-                v = h * np.uint64(int(rng.integers(1, 2**63)) * 2 + 1)
-                v ^= v >> np.uint64(32)
-                v[crossing] = _TOP
-                for c in range(CHILDREN):
-                    low = np.minimum.reduceat(v, starts)
-                    out[lo:hi, tree, level, c] = low
-                    if c + 1 < CHILDREN:
-                        v[v == np.repeat(low, n)] = _TOP
-    return out
+        h = run_hashes(np.frombuffer("".join(texts[lo:hi]).encode("utf-32-le", "surrogatepass"), np.uint32), SHINGLE)
+        of = np.repeat(np.arange(hi - lo), n)
+        within = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+        inside = within <= np.repeat(n - SHINGLE, n)
+        h, of = h[inside], of[inside]
+        table = np.full((hi - lo) * BINS, _TOP)
+        np.minimum.at(table, of * BINS + (h >> np.uint64(58)).astype(np.int64), h << np.uint64(6))
+        out[lo:hi] = table.reshape(-1, BINS)
+    empty = out == _TOP
+    own = out.copy()
+    for step in range(1, BINS):
+        if not empty.any():
+            break
+        from_ = np.roll(own, -step, axis=1)
+        fill = empty & (from_ != _TOP)
+        out[fill] = (from_ * _ODD + np.uint64(step))[fill]
+        empty &= ~fill
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(29))
 
 
 def _paths(docs: DataFrame) -> DataFrame:
-    """``node, did, further``: the nodes of the first level, with what chooses the children of the next levels."""
+    """``node, did, further, s0, s1``: the nodes of the first level, what chooses the children of the next levels, and the signature."""
+    shifts = np.arange(32, dtype=np.uint64) * np.uint64(2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m = minwise(batch.column("text").to_pylist())
             group = batch.column("g").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             did = batch.column("did").to_numpy(zero_copy_only=False)
-            # sixteen bits of each token tell the children of one node apart well enough
-            low = m & np.uint64(0xFFFF)
+            two = (m * _ODD) >> np.uint64(62)
+            s0, s1 = ((two[:, k : k + 32] << shifts).sum(1, dtype=np.uint64) for k in (0, 32))
+            # eight bits of each token tell the children of one node apart well enough
+            low = m & np.uint64(0xFF)
             for tree in range(TREES):
+                at = tree * LEVELS * CHILDREN
                 further = np.zeros(len(did), np.uint64)
-                for level in range(1, LEVELS):
-                    for c in range(CHILDREN):
-                        further = (further << np.uint64(16)) | low[:, tree, level, c]
-                for c in range(CHILDREN):
-                    node = (m[:, tree, 0, c] ^ group) * _ODD + np.uint64(tree)
-                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (node, did, further)], ["node", "did", "further"])
+                for k in range(at + CHILDREN, at + LEVELS * CHILDREN):
+                    further = (further << np.uint64(8)) | low[:, k]
+                for k in range(at, at + CHILDREN):
+                    node = (m[:, k] ^ group) * _ODD + np.uint64(k)
+                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (node, did, further, s0, s1)], ["node", "did", "further", "s0", "s1"])
 
-    return docs.select("did", F.xxhash64("group").alias("g"), "text").mapInArrow(run, "node long, did long, further long")
+    return docs.select("did", F.xxhash64("group").alias("g"), "text").mapInArrow(run, "node long, did long, further long, s0 long, s1 long")
 
 
-def _sized(rows: DataFrame, label: str) -> DataFrame:
-    """Rows of nodes of at least two records, with the node's size ``n`` and smallest record ``low``."""
-    rows = materialize(rows, label)
-    nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("did").alias("low")).where("n > 1")
-    return materialize(hot_aware_join(rows, materialize(nodes, f"{label}-nodes"), ["node"], "n", max(rows.count(), 1)), f"{label}-sized")
+def _alike(x: str, y: str) -> Column:
+    """Whether enough of the two-bit minwise signatures of ``x`` and ``y`` are equal for a similar pair."""
 
+    def unequal(s: str) -> Column:
+        bits = F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))
+        return F.bit_count(bits.bitwiseOR(F.shiftrightunsigned(bits, 1)).bitwiseAND(F.lit(_PAIRS)))
 
-def _sketches(docs: DataFrame) -> DataFrame:
-    """``did, size, s``: the number of distinct shingles of a record, and for each hash class of shingles whether their number is odd."""
+    return unequal("s0") + unequal("s1") <= BINS - least_equal()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            sizes, words = np.empty(len(texts), np.int32), np.empty((len(texts), SKETCH), np.int64)
-            for i, text in enumerate(texts):
-                found = shingles(text)
-                sizes[i] = len(found)
-                odd = np.bincount((found >> np.uint64(40)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
-                words[i] = np.packbits(odd.astype(np.uint8)).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * SKETCH, pa.int32()), pa.array(words.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("did"), pa.array(sizes), lists], ["did", "size", "s"])
 
-    return materialize(docs.select("did", "text").mapInArrow(run, "did long, size int, s array<long>"), "sketches")
+_RECORD = ("did", "s0", "s1")
 
 
-def _may_be_similar(x: str, y: str) -> Column:
-    """False only for records that cannot be similar.
-
-    Records that share a part t of all their shingles differ in (1 - t) / (1 + t) of the sum of their sizes, and sketches
-    differ in no more places than records differ in shingles.
-    """
-    differ = sum((F.bit_count(F.col(f"{x}s")[k].bitwiseXOR(F.col(f"{y}s")[k])) for k in range(SKETCH)), F.lit(0))
-    # a hair above the bound, so that rounding loses nothing
-    return differ <= (F.col(f"{x}size") + F.col(f"{y}size")) * F.lit((1 - THRESHOLD) / (1 + THRESHOLD) + 1e-9)
+def first_nodes(docs: DataFrame) -> DataFrame:
+    """``node, did, further, s0, s1, n, low``: the records of each node of the first level of every tree, with the node's smallest record; nodes of one record are left out."""
+    rows = materialize(_paths(docs), "paths")
+    nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*_RECORD)).alias("low")).where("n > 1")
+    nodes = materialize(nodes, "path-nodes")
+    sized = materialize(hot_aware_join(rows, nodes, ["node"], "n", max(rows.count(), 1)), "level")
+    release(rows, nodes)
+    return sized
 
 
-def _open_pairs(open_: DataFrame, sketches: DataFrame) -> DataFrame:
-    """All pairs ``a < b`` that meet in a node of ``open_`` (``node, did, label``), have different labels and may be similar.
+def _cross_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs ``a < b`` of each node of ``rows`` (``node, did, s0, s1, label, c, m, main``) that have different labels and may be similar.
 
     Larger nodes are cut into blocks, and every two blocks meet, except two of the node's largest class, which is one already.
     """
-    classes = open_.groupBy("node", "label").agg(F.count(F.lit(1)).alias("m"))
-    split = classes.groupBy("node").agg(F.sum("m").alias("c"), F.count(F.lit(1)).alias("k"), F.max("m").alias("m"), F.max_by("label", F.struct("m", "label")).alias("main")).where("k > 1 and c > 2").drop("k")
-    split = materialize(split, "split")
-    rows = hot_aware_join(open_, split, ["node"], "c", max(open_.count(), 1)).join(sketches, "did")
     mains, others = F.ceil(F.col("m") / BLOCK), F.ceil((F.col("c") - F.col("m")) / BLOCK)
     is_main, small = F.col("label") == F.col("main"), F.col("c") <= BLOCK
     h = F.xxhash64("did")
     block = F.when(small, F.lit(0)).when(is_main, F.pmod(h, mains)).otherwise(mains + F.pmod(h, others)).cast("int")
     meets = F.sequence(F.when(~small & is_main, mains).otherwise(0).cast("int"), F.when(small, F.lit(0)).otherwise(mains + others - 1).cast("int"))
-    rows = rows.select("node", "did", "label", "size", "s", block.alias("block"), F.explode(meets).alias("other"))
-    rows = rows.select("node", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), F.struct("did", "label", "block", "size", "s").alias("r"))
+    rows = rows.select("node", "label", *_RECORD, block.alias("block"), F.explode(meets).alias("other"))
+    rows = rows.select("node", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), F.struct(*_RECORD, "label", "block").alias("r"))
     lists = rows.groupBy("node", "lo", "hi").agg(F.collect_list("r").alias("l"))
     first = lists.select("lo", "hi", F.posexplode("l").alias("i", "x"), "l")
     both = first.select("lo", "hi", "x", F.explode(F.slice("l", F.col("i") + 2, F.greatest(F.size("l") - F.col("i") - 1, F.lit(0)))).alias("y"))
-    both = both.where("x.label <> y.label and (lo = hi or x.block <> y.block)").where(_may_be_similar("x.", "y."))
-    return both.select(F.least("x.did", "y.did").alias("a"), F.greatest("x.did", "y.did").alias("b")).distinct()
+    both = both.where("x.label <> y.label and (lo = hi or x.block <> y.block)").where(_alike("x", "y"))
+    return both.select(F.least("x.did", "y.did").alias("a"), F.greatest("x.did", "y.did").alias("b"))
 
 
-def final_nodes(docs: DataFrame) -> DataFrame:
-    """``node, did, n, low``: the records of the nodes at which paths end, with the node's size and smallest record.
+def _open_pairs(open_: DataFrame) -> DataFrame:
+    """Pairs ``a < b`` that meet in a node, have different labels and may be similar, each once.
 
-    A record starts under its CHILDREN smallest tokens in each of TREES independent trees. A path ends at a node of up to LEAF
-    records; in larger ones each record goes on to CHILDREN children by its smallest tokens of the next level, until LEVELS are
-    used up: records of a node that is large even then agree in LEVELS tokens drawn independently. Nodes of one record are left out.
+    ``open_`` has ``node, did, further, s0, s1, label`` for the nodes of the first level. A node of one class has nothing to
+    compare. A node whose pairs of different classes are at most LEAF for each record is compared in full; in others every record
+    goes on to CHILDREN children by its tokens of the next level. After LEVELS levels nodes are compared in full, whatever their size.
     """
-    sized = _sized(_paths(docs), "level1")
-    ends = sized.where(F.col("n") <= LEAF).select("node", "did", "n", "low")
-    for level in range(2, LEVELS + 1):
-        tokens = [F.shiftrightunsigned("further", 16 * ((LEVELS - level) * CHILDREN + c)).bitwiseAND(0xFFFF) for c in range(CHILDREN)]
-        children = sized.where(F.col("n") > LEAF).select("node", "did", "further", F.explode(F.array(*tokens)).alias("t"))
-        sized = _sized(children.select(F.xxhash64("node", "t").alias("node"), "did", "further"), f"level{level}")
-        ends = ends.union((sized if level == LEVELS else sized.where(F.col("n") <= LEAF)).select("node", "did", "n", "low"))
-    return ends
+    found: list[DataFrame] = []
+    for level in range(1, LEVELS + 1):
+        classes = open_.groupBy("node", "label").agg(F.count(F.lit(1)).alias("m"))
+        size = F.col("m").cast("double")
+        nodes = classes.groupBy("node").agg(F.sum("m").alias("c"), F.count(F.lit(1)).alias("k"), F.max("m").alias("m"), F.max_by("label", F.struct("m", "label")).alias("main"), F.sum(size * size).alias("q"))
+        nodes = materialize(nodes.where("k > 1 and c > 2").drop("k"), "split")
+        rows = materialize(hot_aware_join(open_, nodes, ["node"], "c", max(open_.count(), 1)), "mixed")
+        few = (F.col("c").cast("double") * F.col("c") - F.col("q")) / 2 <= LEAF * F.col("c") if level < LEVELS else F.lit(True)
+        found.append(materialize(_cross_pairs(rows.where(few)), "met"))
+        large = rows.where(~few)
+        release(open_, nodes)
+        if large.isEmpty():
+            release(rows)
+            break
+        tokens = [F.shiftrightunsigned("further", 8 * ((LEVELS - 1 - level) * CHILDREN + c)).bitwiseAND(0xFF) + 256 * c for c in range(CHILDREN)]
+        children = large.select(F.col("node").alias("up"), "did", "further", "s0", "s1", "label", F.explode(F.array(*tokens)).alias("t"))
+        open_ = materialize(children.select(F.xxhash64("up", "t").alias("node"), "did", "further", "s0", "s1", "label"), "level")
+        release(rows)
+    met = reduce(DataFrame.union, found).distinct()
+    met = materialize(met, "open-pairs")
+    release(*found)
+    return met
+
+
+def _salts(pairs: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
+    """``pairs`` with ``part_side``, and ``side, parts``: the partners of one record are cut into parts of about PART."""
+    parts = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
+    parts = materialize(parts, f"parts-{side}")
+    other = "b" if side == "a" else "a"
+    salted = hot_aware_join(pairs, parts, [side], "n", max(pairs.count(), 1))
+    return salted.withColumn(f"part_{side}", F.pmod(F.xxhash64(other), "parts").cast("int")).drop("n", "parts"), parts
 
 
 def similar_pairs(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of ``pairs`` whose texts have a similarity of THRESHOLD or more, computed exactly from all shingles."""
-    texts = docs.select("did", "text")
-    first = pairs.join(texts.withColumnsRenamed({"did": "a", "text": "ta"}), "a")
-    both = first.join(texts.withColumnsRenamed({"did": "b", "text": "tb"}), "b").select("a", "b", "ta", "tb")
+    """Those of the materialized ``pairs`` whose texts have a similarity of THRESHOLD or more, computed exactly from all shingles.
+
+    Texts are fetched by a shuffle for each side, in which a record with many partners is split.
+    """
+    used = []
+    both = pairs
+    for side in ("a", "b"):
+        both, parts = _salts(both, side)
+        used.append(parts)
+    both = materialize(both, "salted")
+    used.append(both)
+    for side, parts in zip(("a", "b"), used):
+        texts = docs.select(F.col("did").alias(side), F.col("text").alias(f"t{side}")).join(parts, side)
+        texts = texts.select(side, f"t{side}", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias(f"part_{side}"))
+        both = both.join(texts, [side, f"part_{side}"])
+    both = both.select("a", "b", "ta", "tb")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, np.ndarray] = {}
@@ -216,7 +268,9 @@ def similar_pairs(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             good = [similarity(of(i, x), of(j, y)) >= THRESHOLD for i, j, x, y in zip(a, b, ta, tb)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return materialize(both.mapInArrow(verify, "a long, b long"), "links")
+    links = materialize(both.mapInArrow(verify, "a long, b long"), "links")
+    release(*used)
+    return links
 
 
 def near_duplicates(df: DataFrame, group: str, id_col: str, text_col: str) -> DataFrame:
@@ -230,20 +284,24 @@ def near_duplicates(df: DataFrame, group: str, id_col: str, text_col: str) -> Da
     rows = materialize(rows.select("*", *digest(F.col("group"), F.col("text"))), "reduced")
     docs = rows.groupBy("group", "k1", "k2").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"))
     docs = materialize(docs.withColumn("did", F.monotonically_increasing_id()), "docs")
-    nodes, sketches = final_nodes(docs), _sketches(docs)
-    stars = nodes.where("did <> low").select(F.col("low").alias("a"), F.col("did").alias("b")).distinct()
-    for side in ("a", "b"):
-        stars = stars.join(sketches.select(F.col("did").alias(side), F.col("size").alias(f"{side}_size"), F.col("s").alias(f"{side}_s")), side)
-    pairs = materialize(stars.where(_may_be_similar("a_", "b_")).select("a", "b"), "pairs")
+    # every record of a node is compared with the node's smallest one
+    nodes = first_nodes(docs)
+    stars = nodes.where("did <> low.did").select("low", F.struct(*_RECORD).alias("r")).where(_alike("low", "r"))
+    pairs = materialize(stars.select(F.col("low.did").alias("a"), F.col("r.did").alias("b")).distinct(), "stars")
     links = similar_pairs(pairs, docs)
-    labels = minimum_labels(links)
-    # all records of a node that are not yet of one class are compared
-    open_ = nodes.join(labels, nodes["did"] == labels["node"], "left").select(nodes["node"], "did", F.coalesce("label", "did").alias("label"))
-    met = _open_pairs(materialize(open_, "open"), sketches)
+    labels = materialize(minimum_labels(links), "labels")
+    # then all records of a node that are not of one class by now
+    open_ = nodes.drop("n", "low").join(labels, nodes["did"] == labels["node"], "left").select(nodes["node"], "did", "further", "s0", "s1", F.coalesce("label", "did").alias("label"))
+    open_ = materialize(open_, "open")
+    release(nodes)
+    met = _open_pairs(open_)
     more = materialize(met.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+    release(met, pairs)
     if not more.isEmpty():
         links = links.union(similar_pairs(more, docs))
-        labels = minimum_labels(links)
+        release(labels)
+        labels = materialize(minimum_labels(links), "labels")
+    release(more)
     degree = links.select(F.explode(F.array("a", "b")).alias("did")).groupBy("did").agg(F.count(F.lit(1)).alias("links"))
     known = docs.select("did", "group", "k1", "k2", "first_id", "copies").join(labels, docs["did"] == labels["node"], "left").drop("node")
     known = materialize(known.join(degree, "did", "left").withColumn("label", F.coalesce("label", "did")), "known")

@@ -111,10 +111,11 @@ def test_near_duplicates_of_one_node_are_all_compared(spark, monkeypatch):
         from pyspark.sql import functions as F
 
         def one_node(docs):
-            low = docs.agg(F.min("did").alias("low"), F.count(F.lit(1)).alias("n"))
-            return docs.select(F.lit(1).cast("long").alias("node"), "did").join(low).select("node", "did", "n", "low")
+            rows = nd._paths(docs).dropDuplicates(["did"]).withColumn("node", F.lit(1).cast("long"))
+            return rows.join(rows.agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("did", "s0", "s1")).alias("low")))
 
-        monkeypatch.setattr(nd, "final_nodes", one_node)
+        monkeypatch.setattr(nd, "first_nodes", one_node)
+        monkeypatch.setattr(nd, "LEVELS", 1)
         assert {x["id"]: x["rep_id"] for x in nd.near_duplicates(df, "tab", "id", "text").collect()} == linked(texts)
 
 
@@ -132,3 +133,31 @@ def test_near_duplicates_just_above_the_threshold(spark):
     want = {i: i - i % 2 for i in range(len(texts))}
     assert all(nd.similarity(nd.shingles(texts[i]), nd.shingles(texts[i + 1])) >= nd.THRESHOLD for i in range(0, len(texts), 2))
     assert {x["id"]: x["rep_id"] for x in nd.near_duplicates(df, "tab", "id", "text").collect()} == want
+
+
+def test_near_duplicates_under_a_common_sentence(spark):
+    """Many unlike records share a sentence, so that their nodes go down several levels; the pairs among them are found."""
+    r = random.Random(6)
+    new = lambda n: "".join(r.choice("abcdefghijklmnopqrst") for _ in range(n))
+    footer = new(120)
+    texts = [t + footer for _ in range(150) for base in [new(180)] for t in (base, base[:90] + "z" + base[91:])]
+    df = spark.createDataFrame([("t", i, t) for i, t in enumerate(texts)], "tab string, id long, text string")
+    assert {x["id"]: x["rep_id"] for x in nd.near_duplicates(df, "tab", "id", "text").collect()} == linked(texts)
+
+
+def test_trees_and_signatures_keep_their_recall():
+    """Values of a pair agree as often as its similarity says, signatures of similar pairs pass, and the trees give the recall stated."""
+    r = random.Random(3)
+    texts = []
+    for _ in range(400):
+        base = [r.choice("abcdefghijklmnopqrst") for _ in range(r.choice([130, 400, 2000]))]
+        copy = list(base)
+        for i in range(33, len(base), 34):
+            copy[i] = "z"
+        texts += ["".join(base), "".join(copy)]
+    m = nd.minwise(texts)
+    equal = (m[::2] == m[1::2]).mean()
+    real = sum(nd.similarity(nd.shingles(a), nd.shingles(b)) for a, b in zip(texts[::2], texts[1::2])) / 400
+    assert abs(equal - real) < 0.02 and len(set(m[::2].ravel().tolist())) > 0.5 * m[::2].size
+    assert 1 - (1 - nd.survival(nd.LEVELS)) ** nd.TREES >= nd.RECALL and 1 - (1 - nd.survival(1)) ** nd.TREES > 0.9998
+    assert nd.least_equal() < nd.BINS * (nd.THRESHOLD + (1 - nd.THRESHOLD) / 4)
