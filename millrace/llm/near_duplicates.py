@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,16 +14,19 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import reduced
 from millrace.operators.graph import minimum_labels
-from millrace.operators.skew import digest, hot_aware_join
+from millrace.operators.skew import HOT_SHARE, digest, heavy_keys, hot_aware_join
 from millrace.session import materialize, release
 
 #: Similarity is taken over runs of SHINGLE characters of the reduced text; texts shorter than MIN_LENGTH take no part.
 SHINGLE, THRESHOLD, MIN_LENGTH = 8, 0.6, 120
-#: Children of a record at each node, the deepest level, the size up to which a node is always compared in full, and the share
-#: of pairs at THRESHOLD that must meet in a final node even if every node on their way is too large to be compared.
-CHILDREN, LEVELS, LEAF, RECALL = 2, 5, 8, 0.99
-#: Blocks by which large nodes are compared have about this many records; a record has no more partners in one task than PART.
-BLOCK, PART = 64, 20_000
+#: Children of a record at each node, the deepest level, and the share of pairs at THRESHOLD that must meet in a final node even
+#: if every node on their way is too large to be compared.
+CHILDREN, LEVELS, RECALL = 2, 5, 0.99
+#: Nodes of up to NODE records are compared in full. Larger ones are, if their pairs of different classes are at most LEAF for
+#: each record or no level is left, block by block (blocks of about BLOCK records); else they go down a level.
+NODE, LEAF, BLOCK = 1024, 8, 64
+#: A record with more partners than PART is split when texts are fetched; nodes are compared in chunks of about CHUNK rows.
+PART, CHUNK = 20_000, 100_000
 #: Minwise values of a record, and the share of pairs at THRESHOLD that the comparison of signatures may lose.
 BINS, LOST = 64, 1e-4
 
@@ -40,7 +44,7 @@ def survival(levels: int, similarity: float = THRESHOLD) -> float:
 
 #: Independent trees, as many as RECALL needs.
 TREES = math.ceil(math.log(1 - RECALL) / math.log(1 - survival(LEVELS)))
-assert TREES * LEVELS * CHILDREN <= BINS and (LEVELS - 1) * CHILDREN * 8 <= 64
+assert TREES <= 8 and TREES * LEVELS * CHILDREN <= BINS and (LEVELS - 1) * CHILDREN * 8 <= 64
 
 
 def least_equal() -> int:
@@ -128,29 +132,32 @@ def minwise(texts: list[str]) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def _paths(docs: DataFrame) -> DataFrame:
-    """``node, did, further, s0, s1``: the nodes of the first level, what chooses the children of the next levels, and the signature."""
+def sketches(docs: DataFrame) -> DataFrame:
+    """``did, s0, s1, nodes, further``: a record's signature, its nodes of the first level (the lowest three bits tell the tree), and for each tree what chooses its children further down."""
     shifts = np.arange(32, dtype=np.uint64) * np.uint64(2)
+    seven = np.uint64(7)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m = minwise(batch.column("text").to_pylist())
             group = batch.column("g").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            did = batch.column("did").to_numpy(zero_copy_only=False)
             two = (m * _ODD) >> np.uint64(62)
             s0, s1 = ((two[:, k : k + 32] << shifts).sum(1, dtype=np.uint64) for k in (0, 32))
             # eight bits of each token tell the children of one node apart well enough
             low = m & np.uint64(0xFF)
+            nodes, further = np.empty((len(m), TREES * CHILDREN), np.uint64), np.zeros((len(m), TREES), np.uint64)
             for tree in range(TREES):
                 at = tree * LEVELS * CHILDREN
-                further = np.zeros(len(did), np.uint64)
                 for k in range(at + CHILDREN, at + LEVELS * CHILDREN):
-                    further = (further << np.uint64(8)) | low[:, k]
-                for k in range(at, at + CHILDREN):
-                    node = (m[:, k] ^ group) * _ODD + np.uint64(k)
-                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (node, did, further, s0, s1)], ["node", "did", "further", "s0", "s1"])
+                    further[:, tree] = (further[:, tree] << np.uint64(8)) | low[:, k]
+                for c in range(CHILDREN):
+                    node = (m[:, at + c] ^ group) * _ODD + np.uint64(at + c)
+                    nodes[:, tree * CHILDREN + c] = (node & ~seven) | np.uint64(tree)
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel().view(np.int64))) for x in (nodes, further)]
+            yield pa.RecordBatch.from_arrays([batch.column("did"), *[pa.array(x.view(np.int64)) for x in (s0, s1)], *lists], ["did", "s0", "s1", "nodes", "further"])
 
-    return docs.select("did", F.xxhash64("group").alias("g"), "text").mapInArrow(run, "node long, did long, further long, s0 long, s1 long")
+    found = docs.select("did", F.xxhash64("group").alias("g"), "text").mapInArrow(run, "did long, s0 long, s1 long, nodes array<long>, further array<long>")
+    return materialize(found, "sketches")
 
 
 def _alike(x: str, y: str) -> Column:
@@ -163,17 +170,142 @@ def _alike(x: str, y: str) -> Column:
     return unequal("s0") + unequal("s1") <= BINS - least_equal()
 
 
+Rows = dict[str, np.ndarray]
+
+
+def _alike_rows(r: Rows, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    unequal = np.zeros(len(i), np.uint8)
+    for s in ("s0", "s1"):
+        bits = r[s][i] ^ r[s][j]
+        unequal += np.bitwise_count((bits | (bits >> np.uint64(1))) & np.uint64(_PAIRS))
+    return unequal <= BINS - least_equal()
+
+
+def leaders(r: Rows) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of each record with the first leader of its node that it is alike; a record alike none is a leader. Rows are sorted by node."""
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    active = np.arange(len(r["node"]))
+    while len(active):
+        node = r["node"][active]
+        first = np.ones(len(active), bool)
+        first[1:] = node[1:] != node[:-1]
+        lead = active[np.flatnonzero(first)][np.cumsum(first) - 1]
+        alike = _alike_rows(r, active, lead)
+        hit = alike & ~first
+        out.append((r["did"][lead[hit]], r["did"][active[hit]]))
+        active = active[~alike & ~first]
+        node = r["node"][active]
+        same = node[1:] == node[:-1]
+        several = np.zeros(len(active), bool)
+        several[1:] |= same
+        several[:-1] |= same
+        active = active[several]
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 2
+
+
+def strangers(r: Rows) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of a node that are alike and have different labels. Rows are sorted by node."""
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    node = r["node"]
+    starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]]) if len(node) else np.empty(0, np.int64)
+    sizes = np.diff(np.r_[starts, len(node)])
+    mixed = np.minimum.reduceat(r["label"], starts) < np.maximum.reduceat(r["label"], starts) if len(node) else np.empty(0, bool)
+    left = np.repeat(np.where(mixed, starts + sizes, starts), sizes) - np.arange(len(node))
+    at, shift = np.flatnonzero(left > 1), 1
+    while len(at):
+        pairs = at[r["label"][at] != r["label"][at + shift]]
+        pairs = pairs[_alike_rows(r, pairs, pairs + shift)]
+        out.append((r["did"][pairs], r["did"][pairs + shift]))
+        shift += 1
+        at = at[left[at] > shift]
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 2
+
+
+def _within_nodes(rows: DataFrame, compare: Callable[[Rows], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """``a, b, node`` of ``rows`` (``node, did, s0, s1, ...``): pairs that ``compare`` finds in nodes of up to NODE records, with a null node.
+
+    Rows of larger nodes come out as they are, with their ``did`` as ``a`` and that of the node's smallest record as ``b``. They are
+    handed on as they come and never kept, so a task holds NODE rows of one node at most, and a chunk of small nodes.
+    """
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[Rows] = []
+        large: tuple[int, int] | None = None
+
+        def out(a: np.ndarray, b: np.ndarray, node: np.ndarray | None = None) -> pa.RecordBatch:
+            nodes = pa.nulls(len(a), pa.int64()) if node is None else pa.array(node)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), nodes], ["a", "b", "node"])
+
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                new = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
+                kept.append(new | {k: new[k].view(np.uint64) for k in ("s0", "s1")})
+                if sum(len(x["node"]) for x in kept) < CHUNK:
+                    continue
+            if not kept:
+                continue
+            r = {k: np.concatenate([x[k] for x in kept]) for k in names}
+            kept = []
+            if large is not None:
+                k = int(np.searchsorted(r["node"], large[0], "right"))
+                yield out(r["did"][:k], np.full(k, large[1]), r["node"][:k])
+                r = {x: v[k:] for x, v in r.items()}
+                large = None if len(r["node"]) else large
+            node = r["node"]
+            if not len(node):
+                continue
+            starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+            sizes = np.diff(np.r_[starts, len(node)])
+            # the last node may go on in the next batch
+            if batch is not None and sizes[-1] <= NODE:
+                kept = [{x: v[starts[-1] :] for x, v in r.items()}]
+                r = {x: v[: starts[-1]] for x, v in r.items()}
+                starts, sizes = starts[:-1], sizes[:-1]
+            elif batch is not None:
+                large = (int(node[-1]), int(r["did"][starts[-1]]))
+            big = np.repeat(sizes > NODE, sizes)
+            if big.any():
+                yield out(r["did"][big], np.repeat(r["did"][starts], sizes)[big], r["node"][big])
+            yield out(*compare({x: v[~big] for x, v in r.items()}))
+
+    return rows.repartition("node").sortWithinPartitions("node", "did").mapInArrow(run, "a long, b long, node long")
+
+
 _RECORD = ("did", "s0", "s1")
 
 
-def first_nodes(docs: DataFrame) -> DataFrame:
-    """``node, did, further, s0, s1, n, low``: the records of each node of the first level of every tree, with the node's smallest record; nodes of one record are left out."""
-    rows = materialize(_paths(docs), "paths")
-    nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*_RECORD)).alias("low")).where("n > 1")
-    nodes = materialize(nodes, "path-nodes")
-    sized = materialize(hot_aware_join(rows, nodes, ["node"], "n", max(rows.count(), 1)), "level")
-    release(rows, nodes)
-    return sized
+def _hot_nodes(rows: DataFrame) -> DataFrame | None:
+    """``node, low``: nodes of more than NODE records that hold at least one HOT_SHARE-th of ``rows``, with their smallest record; None if there is none."""
+    heavy = [r["node"] for r in heavy_keys(rows, "node", share=1 / HOT_SHARE).where(F.col("weight") > NODE).select("node").collect()]  # HOT_SHARE at most
+    return rows.where(F.col("node").isin(heavy)).groupBy("node").agg(F.min(F.struct(*_RECORD)).alias("low")) if heavy else None
+
+
+def first_rows(sketch: DataFrame) -> DataFrame:
+    """``node, did, s0, s1``: every record under each of its nodes of the first level."""
+    return sketch.select(F.explode("nodes").alias("node"), *_RECORD)
+
+
+def _stars(sketch: DataFrame) -> DataFrame:
+    """Pairs ``a < b`` of alike records of a first-level node, one for each record at most: with the first leader it is alike, in a large node with the smallest record."""
+    rows = first_rows(sketch)
+    hot = _hot_nodes(rows)
+    pairs = []
+    if hot is not None:
+        hot = materialize(hot, "hot-nodes")
+        stars = rows.join(F.broadcast(hot), "node").where("did <> low.did").select("low", F.struct(*_RECORD).alias("r")).where(_alike("low", "r"))
+        pairs.append(stars.select(F.col("low.did").alias("a"), F.col("r.did").alias("b")))
+        rows = rows.join(F.broadcast(hot.select("node")), "node", "left_anti")
+    found = materialize(_within_nodes(rows, leaders), "leaders")
+    pairs.append(found.where("node is null").select("a", "b"))
+    sig = sketch.select(*_RECORD)
+    big = found.where("node is not null and a <> b").select(F.col("b").alias("low"), "a").distinct()
+    for side in ("low", "a"):
+        big = big.join(sig.select(F.col("did").alias(side), F.struct(*_RECORD).alias(f"{side}_r")), side)
+    pairs.append(big.where(_alike("low_r", "a_r")).select(F.col("low").alias("a"), F.col("a").alias("b")))
+    stars = materialize(reduce(DataFrame.union, pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stars")
+    release(found)
+    return stars
 
 
 def _cross_pairs(rows: DataFrame) -> DataFrame:
@@ -195,34 +327,52 @@ def _cross_pairs(rows: DataFrame) -> DataFrame:
     return both.select(F.least("x.did", "y.did").alias("a"), F.greatest("x.did", "y.did").alias("b"))
 
 
-def _open_pairs(open_: DataFrame) -> DataFrame:
-    """Pairs ``a < b`` that meet in a node, have different labels and may be similar, each once.
+def _open_pairs(sketch: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs ``a < b`` that meet in a node, have different labels (``node, label``; a record without one is its own) and may be similar, each once.
 
-    ``open_`` has ``node, did, further, s0, s1, label`` for the nodes of the first level. A node of one class has nothing to
-    compare. A node whose pairs of different classes are at most LEAF for each record is compared in full; in others every record
-    goes on to CHILDREN children by its tokens of the next level. After LEVELS levels nodes are compared in full, whatever their size.
+    Nodes of up to NODE records are compared in full, where they are of more than one class. A larger node is compared block by
+    block if its pairs of different classes are at most LEAF for each record; in others every record goes on to CHILDREN children
+    by its tokens of the next level. After LEVELS levels nodes are compared in full, whatever their size.
     """
-    found: list[DataFrame] = []
+    known = sketch.select(*_RECORD, "nodes", "further").join(labels.withColumnRenamed("node", "_n"), F.col("did") == F.col("_n"), "left")
+    known = materialize(known.withColumn("label", F.coalesce("label", "did")).drop("_n"), "open")
+    rows = known.select(F.explode("nodes").alias("node"), *_RECORD, "label")
+    used, found = [known], []
     for level in range(1, LEVELS + 1):
-        classes = open_.groupBy("node", "label").agg(F.count(F.lit(1)).alias("m"))
+        hot = _hot_nodes(rows)
+        large = []
+        if hot is not None:
+            hot = F.broadcast(materialize(hot, "hot-nodes").select("node"))
+            large.append(rows.join(hot, "node").select("node", "did"))
+            rows = rows.join(hot, "node", "left_anti")
+        compared = materialize(_within_nodes(rows, strangers), "met")
+        used.append(compared)
+        found.append(compared.where("node is null").select("a", "b"))
+        large.append(compared.where("node is not null").select("node", F.col("a").alias("did")))
+        large = materialize(reduce(DataFrame.union, large).join(known, "did").select("node", *_RECORD, "label", "further"), "large")
+        used.append(large)
+        total = large.count()
+        if not total:
+            break
         size = F.col("m").cast("double")
+        classes = large.groupBy("node", "label").agg(F.count(F.lit(1)).alias("m"))
         nodes = classes.groupBy("node").agg(F.sum("m").alias("c"), F.count(F.lit(1)).alias("k"), F.max("m").alias("m"), F.max_by("label", F.struct("m", "label")).alias("main"), F.sum(size * size).alias("q"))
-        nodes = materialize(nodes.where("k > 1 and c > 2").drop("k"), "split")
-        rows = materialize(hot_aware_join(open_, nodes, ["node"], "c", max(open_.count(), 1)), "mixed")
+        mixed = materialize(hot_aware_join(large, materialize(nodes.where("k > 1").drop("k"), "split"), ["node"], "c", total), "mixed")
+        used.append(mixed)
         few = (F.col("c").cast("double") * F.col("c") - F.col("q")) / 2 <= LEAF * F.col("c") if level < LEVELS else F.lit(True)
-        found.append(materialize(_cross_pairs(rows.where(few)), "met"))
-        large = rows.where(~few)
-        release(open_, nodes)
-        if large.isEmpty():
-            release(rows)
+        found.append(materialize(_cross_pairs(mixed.where(few)), "met"))
+        used.append(found[-1])
+        if level == LEVELS or mixed.where(~few).isEmpty():
             break
-        tokens = [F.shiftrightunsigned("further", 8 * ((LEVELS - 1 - level) * CHILDREN + c)).bitwiseAND(0xFF) + 256 * c for c in range(CHILDREN)]
-        children = large.select(F.col("node").alias("up"), "did", "further", "s0", "s1", "label", F.explode(F.array(*tokens)).alias("t"))
-        open_ = materialize(children.select(F.xxhash64("up", "t").alias("node"), "did", "further", "s0", "s1", "label"), "level")
-        release(rows)
-    met = reduce(DataFrame.union, found).distinct()
+        tree = F.col("node").bitwiseAND(7)
+        bits = F.get("further", tree.cast("int"))
+        tokens = [F.shiftrightunsigned(bits, 8 * ((LEVELS - 1 - level) * CHILDREN + c)).bitwiseAND(0xFF) + 256 * c for c in range(CHILDREN)]
+        children = mixed.where(~few).select("node", *_RECORD, "label", F.explode(F.array(*tokens)).alias("t"))
+        rows = materialize(children.select(F.xxhash64("node", "t").bitwiseAND(~7).bitwiseOR(tree).alias("node"), *_RECORD, "label"), "level")
+        used.append(rows)
+    met = reduce(DataFrame.union, [f.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")) for f in found]).distinct()
     met = materialize(met, "open-pairs")
-    release(*found)
+    release(*used)
     return met
 
 
@@ -284,17 +434,14 @@ def near_duplicates(df: DataFrame, group: str, id_col: str, text_col: str) -> Da
     rows = materialize(rows.select("*", *digest(F.col("group"), F.col("text"))), "reduced")
     docs = rows.groupBy("group", "k1", "k2").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"))
     docs = materialize(docs.withColumn("did", F.monotonically_increasing_id()), "docs")
-    # every record of a node is compared with the node's smallest one
-    nodes = first_nodes(docs)
-    stars = nodes.where("did <> low.did").select("low", F.struct(*_RECORD).alias("r")).where(_alike("low", "r"))
-    pairs = materialize(stars.select(F.col("low.did").alias("a"), F.col("r.did").alias("b")).distinct(), "stars")
+    # the records of a node are compared with its leaders
+    sketch = sketches(docs)
+    pairs = _stars(sketch)
     links = similar_pairs(pairs, docs)
     labels = materialize(minimum_labels(links), "labels")
     # then all records of a node that are not of one class by now
-    open_ = nodes.drop("n", "low").join(labels, nodes["did"] == labels["node"], "left").select(nodes["node"], "did", "further", "s0", "s1", F.coalesce("label", "did").alias("label"))
-    open_ = materialize(open_, "open")
-    release(nodes)
-    met = _open_pairs(open_)
+    met = _open_pairs(sketch, labels)
+    release(sketch)
     more = materialize(met.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
     release(met, pairs)
     if not more.isEmpty():

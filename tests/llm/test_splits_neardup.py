@@ -1,6 +1,8 @@
 import random
 from collections import defaultdict
 
+import pytest
+
 from millrace.llm import near_duplicates as nd
 from millrace.llm import splits
 
@@ -100,7 +102,8 @@ def linked(texts):
     return {i: min(g) for g in groups.values() if len(g) > 1 for i in g}
 
 
-def test_near_duplicates_of_one_node_are_all_compared(spark, monkeypatch):
+@pytest.mark.parametrize("node", [1024, 10])
+def test_near_duplicates_of_one_node_are_all_compared(spark, monkeypatch, node):
     """Similar records that meet in a single node, whose smallest record is unlike them, are found; in small and large nodes."""
     r = random.Random(9)
     new = lambda n: "".join(r.choice("abcdefghijklmnopqrst") for _ in range(n))
@@ -110,11 +113,15 @@ def test_near_duplicates_of_one_node_are_all_compared(spark, monkeypatch):
         df = spark.createDataFrame([("t", i, t) for i, t in enumerate(texts)], "tab string, id long, text string")
         from pyspark.sql import functions as F
 
-        def one_node(docs):
-            rows = nd._paths(docs).dropDuplicates(["did"]).withColumn("node", F.lit(1).cast("long"))
-            return rows.join(rows.agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("did", "s0", "s1")).alias("low")))
+        def one_node(sketch):
+            return sketch.select(F.lit(1).cast("long").alias("node"), "did", "s0", "s1")
+
+        def one_node_sketches(docs, make=nd.sketches):
+            return make(docs).withColumn("nodes", F.array(F.lit(1).cast("long")))
 
-        monkeypatch.setattr(nd, "first_nodes", one_node)
+        monkeypatch.setattr(nd, "first_rows", one_node)
+        monkeypatch.setattr(nd, "sketches", one_node_sketches)
+        monkeypatch.setattr(nd, "NODE", node)
         monkeypatch.setattr(nd, "LEVELS", 1)
         assert {x["id"]: x["rep_id"] for x in nd.near_duplicates(df, "tab", "id", "text").collect()} == linked(texts)
 
@@ -135,11 +142,12 @@ def test_near_duplicates_just_above_the_threshold(spark):
     assert {x["id"]: x["rep_id"] for x in nd.near_duplicates(df, "tab", "id", "text").collect()} == want
 
 
-def test_near_duplicates_under_a_common_sentence(spark):
+def test_near_duplicates_under_a_common_sentence(spark, monkeypatch):
     """Many unlike records share a sentence, so that their nodes go down several levels; the pairs among them are found."""
     r = random.Random(6)
     new = lambda n: "".join(r.choice("abcdefghijklmnopqrst") for _ in range(n))
     footer = new(120)
+    monkeypatch.setattr(nd, "NODE", 16)
     texts = [t + footer for _ in range(150) for base in [new(180)] for t in (base, base[:90] + "z" + base[91:])]
     df = spark.createDataFrame([("t", i, t) for i, t in enumerate(texts)], "tab string, id long, text string")
     assert {x["id"]: x["rep_id"] for x in nd.near_duplicates(df, "tab", "id", "text").collect()} == linked(texts)
