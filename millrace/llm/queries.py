@@ -104,7 +104,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     from millrace.llm.leakage import leaks
 
     found = leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text", "lang")
-    return found.where("verbatim").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
 
 
 @query
@@ -214,7 +214,7 @@ def p9_reparameterised(spark: SparkSession, d: str) -> DataFrame:
     """Documents that ask an item's question with other numbers, units or names."""
     from millrace.llm.leakage import reparameterised
 
-    found = reparameterised(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+    found = reparameterised(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text", "lang")
     return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "changed")
 
 
@@ -227,6 +227,15 @@ def p2_languages(spark: SparkSession, d: str) -> DataFrame:
     return found.select("tab", F.col("id").alias("rec_id"), F.explode("languages").alias("l")).select("tab", "rec_id", "l.label", F.round("l.confidence", 4).alias("confidence"), "l.letters")
 
 
+@query
+def p2_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Each stretch of one language: 1-based start and length in code points of the record's own words, label and confidence."""
+    from millrace.llm import languages as lg
+
+    found = lg.detect(language_records(spark, d), table(spark, d, "lang_samples"))
+    return found.select("tab", F.col("id").alias("rec_id"), F.explode("stretches").alias("s")).select("tab", "rec_id", "s.start", "s.length", "s.label", F.round("s.confidence", 4).alias("confidence"))
+
+
 @query
 def p7_unified(spark: SparkSession, d: str) -> DataFrame:
     """Every text in its one form."""

@@ -1,6 +1,5 @@
 import random
 
-import pytest
 from tokenizers import Tokenizer
 
 from millrace.llm import encoding, leakage
@@ -44,7 +43,7 @@ def test_leaks_equal_brute_force(spark):
     docs += [None, "", items[20][2][3:25], items[20][2][3:21], items[1][2].replace("1", "7"), "z" * 100_000, docs[0]]
     corpus = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(docs)], "doc_id long, text string, item long, h long")
     bank = spark.createDataFrame(items, "item_id long, lang string, text string")
-    got = {(x["doc"], x["item"]) for x in leakage.leaks(corpus, "doc_id", "text", bank, "item_id", "text", "lang").where("verbatim").collect()}
+    got = {(x["doc"], x["item"]) for x in leakage.leaks(corpus, "doc_id", "text", bank, "item_id", "text", "lang").collect()}
     want = set()
     red = lambda t: "".join(map(chr, reduce_text(t)))
     for d, t in enumerate(docs):
@@ -58,9 +57,26 @@ def test_leaks_equal_brute_force(spark):
     assert leakage.leaks(corpus, "doc_id", "text", bank.limit(0), "item_id", "text", "lang").count() == 0
 
 
-@pytest.mark.parametrize(("a", "b", "n", "want"), [("abcdef", "xcdey", 3, 3), ("abc", "abd", 3, 0), ("", "a", 1, 0), ("aaaa", "aaa", 2, 3)])
-def test_longest_shared(a, b, n, want):
-    assert leakage.longest_shared(reduce_text(a), reduce_text(b), n) == want
+def test_shared_run_of_code_numbers(spark):
+    """A run made of numbers has no template window, and one inside words no whole word; plain windows find them."""
+    numbers = "".join(f"A{k}7X{k * 7919 % 10007}" for k in range(40))
+    items = [(1, "en", f"Codes {numbers} end"), (2, "en", "the quick brown fox jumps over the lazy dog and runs away from all the farmers again")]
+    docs = [f"see {numbers[30:90]} there", numbers[30:79], "x" + items[1][2].replace(" ", "")[3:56] + "y", items[1][2].upper()]
+    bank = spark.createDataFrame(items, "item_id long, lang string, text string")
+    corpus = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = leakage.leaks(corpus, "doc_id", "text", bank, "item_id", "text", "lang").collect()
+    assert {(r["doc"], r["item"]) for r in got} == {(0, 1), (2, 2), (3, 2)}
+
+
+def test_blocks_of_items_give_the_same_rows(spark, monkeypatch):
+    items = [(i, "en", " ".join(f"w{(i * 37 + k * k) % 500}x" for k in range(30))) for i in range(12)]
+    bank = spark.createDataFrame(items, "item_id long, lang string, text string")
+    corpus = spark.createDataFrame([(i, "and " + t[i : i + 80 + i] + " end") for i, (_, _, t) in enumerate(items)], "doc_id long, text string")
+    ask = lambda: [sorted(map(tuple, f(corpus, "doc_id", "text", bank, "item_id", "text", "lang").collect())) for f in (leakage.leaks, leakage.reparameterised)]
+    rows = [ask()]
+    monkeypatch.setattr(leakage, "BLOCK_CHARACTERS", 500)
+    rows.append(ask())
+    assert rows[0] == rows[1] and len(rows[0][0]) >= 12
 
 
 def test_reparameterised_questions(spark):
@@ -69,9 +85,10 @@ def test_reparameterised_questions(spark):
         "Note. A clerk sorts 12 letters for Maro and then hands ZK-77 to Maro unopened today.",  # other values, put in consistently
         "A clerk sorts 12 letters for Maro and then hands ZK-77 to Tivo unopened today.",  # one name stands for two
         "A clerk sorts 67 letters for Firgor and then hands GN-25 to Firgor unopened today.",  # verbatim
+        "a clerk sorts 12 letters for Firgor and then hands zk-77 to Firgor unopened today.",  # a name of the item, other numbers
         "Nothing of the kind is written here at all, dear reader.", None, "",
     ]
     corpus = spark.createDataFrame([(k, t) for k, t in enumerate(docs)], "d long, t string")
-    assert [(r["doc"], r["item"]) for r in leakage.reparameterised(corpus, "d", "t", bank, "i", "t").collect()] == [(0, 1)]
+    assert sorted((r["doc"], r["item"]) for r in leakage.reparameterised(corpus, "d", "t", bank, "i", "t").collect()) == [(0, 1), (3, 1)]
     assert leakage.reparameterised(corpus.limit(0), "d", "t", bank, "i", "t").count() == 0
     assert leakage.reparameterised(corpus, "d", "t", bank.limit(0), "i", "t").count() == 0
