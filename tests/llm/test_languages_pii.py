@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,12 +23,34 @@ def test_languages(spark):
     want += [[], [], [], ["de", "en"], ["en"], ["en"]]
     rows = [("t", i, t, "fr" if i % 2 else None, "h" if i % 3 else None, None, 1) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "tab string, id long, text string, declared string, host string, suffix string, languages int")
-    got = {r["id"]: r["languages"] for r in lg.detect(df, samples).collect()}
+    rows = lg.detect(df, samples).collect()
+    got = {r["id"]: r["languages"] for r in rows}
+    mixed = next(r for r in rows if r["id"] == len(texts) - 3)
+    assert [(texts[-3][x["start"] - 1 : x["start"] - 1 + x["length"]], x["label"]) for x in mixed["stretches"]] == list(zip(texts[-3].split("\n\n"), ["en", "de"]))
+    assert all((r["stretches"] == []) == (r["languages"] == []) for r in rows) and all(0 < x["confidence"] <= 1 for r in rows for x in r["stretches"])
     assert [sorted(x["label"] for x in got[i]) for i in range(len(texts))] == want
     assert all(0 < x["confidence"] <= 1 for v in got.values() for x in v)
     assert lg.detect(df.limit(0), samples).count() == 0
 
 
+def test_small_gains_add_up_to_a_change_of_language():
+    """Five short segments, each of little evidence, are a stretch of their own; the shortcut never differs from the path search."""
+    model = lg.Model({"x": (0.0, 1.9, -2.0, -2.0, -2.0), "y": (1.5, 0.0, -2.0, -2.0, -2.0)}, {})
+    text = "y y y y y y y y. " + "x. " * 5 + "y y y y y y."
+    languages, stretches = lg.languages_of(text, model, [0.0] * len(lg.LANGS))
+    assert [k for k, _, _ in languages] == ["en", "de"] and [x[2] for x in stretches] == ["en", "de", "en"]
+    assert text[stretches[1][0] :][: stretches[1][1]] == "x. x. x. x. x."
+    r = random.Random(2)
+    for _ in range(3000):
+        prior = [-r.random() * lg._PRIOR_CAP * r.choice([0, 1]) for _ in lg.LANGS]
+        prior = [p - max(prior) for p in prior]
+        found = [([r.gauss(0, r.choice([0.1, 1, 2])) for _ in lg.LANGS], 1) for _ in range(r.randrange(1, 6))]
+        whole = [sum(x) + p for x, p in zip(zip(*(e for e, _ in found)), prior)]
+        main = whole.index(max(whole))
+        if sum(max(e) - e[main] for e, _ in found) + max(prior) - prior[main] < lg.CHANGE:
+            assert lg.label_segments(found, prior) == [main] * len(found)
+
+
 def test_labels_and_scripts(spark):
     df = spark.createDataFrame([("en-GB",), ("ZH_tw",), (" ",), ("und",), (None,)], "l string")
     assert [r["x"] for r in df.select(lg.primary_subtag(F.col("l")).alias("x")).collect()] == ["en", "zh", None, None, None]
