@@ -48,8 +48,8 @@ assert TREES <= 8 and TREES * LEVELS * CHILDREN <= BINS and (LEVELS - 1) * CHILD
 
 
 def least_equal() -> int:
-    """How many of the BINS two-bit signatures of a pair must be equal: a pair at THRESHOLD has fewer with probability LOST at most."""
-    p, below = THRESHOLD + (1 - THRESHOLD) / 4, 0.0
+    """How many of the BINS four-bit signatures of a pair must be equal: a pair at THRESHOLD has fewer with probability LOST at most."""
+    p, below = THRESHOLD + (1 - THRESHOLD) / 16, 0.0
     for k in range(BINS + 1):
         below += math.comb(BINS, k) * p**k * (1 - p) ** (BINS - k)
         if below > LOST:
@@ -59,7 +59,10 @@ def least_equal() -> int:
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
-_PAIRS = 0x5555555555555555
+_ONES = 0x1111111111111111
+#: A signature: sixteen minwise values in each word.
+_SIGNATURE = ("s0", "s1", "s2", "s3")
+_RECORD = ("did", *_SIGNATURE)
 
 
 def _spread(h: np.ndarray, step: int) -> np.ndarray:
@@ -133,16 +136,16 @@ def minwise(texts: list[str]) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``did, s0, s1, nodes, further``: a record's signature, its nodes of the first level (the lowest three bits tell the tree), and for each tree what chooses its children further down."""
-    shifts = np.arange(32, dtype=np.uint64) * np.uint64(2)
+    """``did, s0..s3, nodes, further``: a record's signature, its nodes of the first level (the lowest three bits tell the tree), and for each tree what chooses its children further down."""
+    shifts = np.arange(16, dtype=np.uint64) * np.uint64(4)
     seven = np.uint64(7)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m = minwise(batch.column("text").to_pylist())
             group = batch.column("g").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            two = (m * _ODD) >> np.uint64(62)
-            s0, s1 = ((two[:, k : k + 32] << shifts).sum(1, dtype=np.uint64) for k in (0, 32))
+            four = (m * _ODD) >> np.uint64(60)
+            signature = [(four[:, k : k + 16] << shifts).sum(1, dtype=np.uint64) for k in range(0, BINS, 16)]
             # eight bits of each token tell the children of one node apart well enough
             low = m & np.uint64(0xFF)
             nodes, further = np.empty((len(m), TREES * CHILDREN), np.uint64), np.zeros((len(m), TREES), np.uint64)
@@ -154,20 +157,21 @@ def sketches(docs: DataFrame) -> DataFrame:
                     node = (m[:, at + c] ^ group) * _ODD + np.uint64(at + c)
                     nodes[:, tree * CHILDREN + c] = (node & ~seven) | np.uint64(tree)
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel().view(np.int64))) for x in (nodes, further)]
-            yield pa.RecordBatch.from_arrays([batch.column("did"), *[pa.array(x.view(np.int64)) for x in (s0, s1)], *lists], ["did", "s0", "s1", "nodes", "further"])
+            yield pa.RecordBatch.from_arrays([batch.column("did"), *[pa.array(x.view(np.int64)) for x in signature], *lists], [*_RECORD, "nodes", "further"])
 
-    found = docs.select("did", F.xxhash64("group").alias("g"), "text").mapInArrow(run, "did long, s0 long, s1 long, nodes array<long>, further array<long>")
+    found = docs.select("did", F.xxhash64("group").alias("g"), "text").mapInArrow(run, f"{', '.join(f'{k} long' for k in _RECORD)}, nodes array<long>, further array<long>")
     return materialize(found, "sketches")
 
 
 def _alike(x: str, y: str) -> Column:
-    """Whether enough of the two-bit minwise signatures of ``x`` and ``y`` are equal for a similar pair."""
+    """Whether enough of the four-bit minwise signatures of ``x`` and ``y`` are equal for a similar pair."""
 
     def unequal(s: str) -> Column:
         bits = F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))
-        return F.bit_count(bits.bitwiseOR(F.shiftrightunsigned(bits, 1)).bitwiseAND(F.lit(_PAIRS)))
+        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 2))
+        return F.bit_count(bits.bitwiseOR(F.shiftrightunsigned(bits, 1)).bitwiseAND(F.lit(_ONES)))
 
-    return unequal("s0") + unequal("s1") <= BINS - least_equal()
+    return sum(map(unequal, _SIGNATURE), F.lit(0)) <= BINS - least_equal()
 
 
 Rows = dict[str, np.ndarray]
@@ -175,9 +179,12 @@ Rows = dict[str, np.ndarray]
 
 def _alike_rows(r: Rows, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     unequal = np.zeros(len(i), np.uint8)
-    for s in ("s0", "s1"):
+    for s in _SIGNATURE:
         bits = r[s][i] ^ r[s][j]
-        unequal += np.bitwise_count((bits | (bits >> np.uint64(1))) & np.uint64(_PAIRS))
+        bits |= bits >> np.uint64(2)
+        bits |= bits >> np.uint64(1)
+        bits &= np.uint64(_ONES)
+        unequal += np.bitwise_count(bits)
     return unequal <= BINS - least_equal()
 
 
@@ -222,7 +229,7 @@ def strangers(r: Rows) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _within_nodes(rows: DataFrame, compare: Callable[[Rows], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """``a, b, node`` of ``rows`` (``node, did, s0, s1, ...``): pairs that ``compare`` finds in nodes of up to NODE records, with a null node.
+    """``a, b, node`` of ``rows`` (``node, did, s0..s3, ...``): pairs that ``compare`` finds in nodes of up to NODE records, with a null node.
 
     Rows of larger nodes come out as they are, with their ``did`` as ``a`` and that of the node's smallest record as ``b``. They are
     handed on as they come and never kept, so a task holds NODE rows of one node at most, and a chunk of small nodes.
@@ -240,7 +247,7 @@ def _within_nodes(rows: DataFrame, compare: Callable[[Rows], tuple[np.ndarray, n
         for batch in chain(batches, [None]):
             if batch is not None:
                 new = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
-                kept.append(new | {k: new[k].view(np.uint64) for k in ("s0", "s1")})
+                kept.append(new | {k: new[k].view(np.uint64) for k in _SIGNATURE})
                 if sum(len(x["node"]) for x in kept) < CHUNK:
                     continue
             if not kept:
@@ -272,9 +279,6 @@ def _within_nodes(rows: DataFrame, compare: Callable[[Rows], tuple[np.ndarray, n
     return rows.repartition("node").sortWithinPartitions("node", "did").mapInArrow(run, "a long, b long, node long")
 
 
-_RECORD = ("did", "s0", "s1")
-
-
 def _hot_nodes(rows: DataFrame) -> DataFrame | None:
     """``node, low``: nodes of more than NODE records that hold at least one HOT_SHARE-th of ``rows``, with their smallest record; None if there is none."""
     heavy = [r["node"] for r in heavy_keys(rows, "node", share=1 / HOT_SHARE).where(F.col("weight") > NODE).select("node").collect()]  # HOT_SHARE at most
@@ -282,7 +286,7 @@ def _hot_nodes(rows: DataFrame) -> DataFrame | None:
 
 
 def first_rows(sketch: DataFrame) -> DataFrame:
-    """``node, did, s0, s1``: every record under each of its nodes of the first level."""
+    """``node, did, s0..s3``: every record under each of its nodes of the first level."""
     return sketch.select(F.explode("nodes").alias("node"), *_RECORD)
 
 
@@ -309,7 +313,7 @@ def _stars(sketch: DataFrame) -> DataFrame:
 
 
 def _cross_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs ``a < b`` of each node of ``rows`` (``node, did, s0, s1, label, c, m, main``) that have different labels and may be similar.
+    """Pairs ``a < b`` of each node of ``rows`` (``node, did, s0..s3, label, c, m, main``) that have different labels and may be similar.
 
     Larger nodes are cut into blocks, and every two blocks meet, except two of the node's largest class, which is one already.
     """
