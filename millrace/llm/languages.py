@@ -19,7 +19,6 @@ from millrace.session import materialize, release
 #: The languages that are told apart, by the script they are written in.
 LATIN, CYRILLIC = ("en", "de", "es", "fr", "pt"), ("ru", "uk")
 LANGS = (*LATIN, *CYRILLIC, "zh", "ja", "ar", "hi", "th")
-_AT = {lang: i for i, lang in enumerate(LANGS)}
 #: The labelled samples that are read at most (those of the smallest hash), the bound of a classifier fitted on a sample.
 MAX_SAMPLES = 20_000
 #: A word enters the model if it makes up at least one VOCABULARY-th of all words of settled records (each counted once a
@@ -55,7 +54,10 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _CYR = re.compile("[Ѐ-ԯ]")
 _LAT = re.compile("[A-Za-zÀ-ɏ]")
 _SEGMENT = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？｡।؟])|[\r\n]+|\s\|\s")
-_NOISE = re.compile("[<\\[@]|http|www[.]", re.I)
+#: Addresses written out to hide them.
+_AT = re.compile(r"[\[({]\s{0,2}at\s{0,2}[\])}]", re.I)
+_HIDDEN = re.compile(r"(?<![\w.+'-])[\w.+'-]++\s{0,2}[\[({]\s{0,2}at\s{0,2}[\])}]\s{0,2}[\w-]+(?:\s{0,2}(?:\.|[\[({]\s{0,2}\w{3,6}\s{0,2}[\])}])\s{0,2}[\w-]+)*", re.I)
+_NOISE = re.compile("[<\\[({@]|http|www[.]", re.I)
 #: Letters of scripts other than Latin that the model knows.
 _OTHER = re.compile("[Ѐ-ԯ؀-ۿऀ-ॿ฀-๿぀-ヿ㐀-鿿ｦ-ﾟ]")
 _UNIQUE = (("ja", re.compile("[぀-ヿｦ-ﾟ]")), ("ar", re.compile("[؀-ۿ]")), ("hi", re.compile("[ऀ-ॿ]")), ("th", re.compile("[฀-๿]")))
@@ -83,6 +85,8 @@ def clean(text: str, swaps: dict[str, str] | None = None) -> str:
         text = _TAG.sub(" ", text)
     if "http" in text or "www." in text or "HTTP" in text or "Http" in text:
         text = _URL.sub(" ", text)
+    if _AT.search(text):
+        text = _HIDDEN.sub(" ", text)
     return _MAIL.sub(" ", text) if "@" in text else text
 
 
