@@ -19,9 +19,9 @@ from millrace.session import materialize, release
 TOKENIZERS = "/opt/tokenizers"
 #: The split pattern of this tokenizer family (contractions, words, numbers, other signs, white space).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
-#: The words of the distinct-word table that are sent to every task: the FREQUENT most frequent ones, a fixed bound whatever the
-#: corpus. Any other word makes up less than one FREQUENT-th of all words, so none of them is a hot key.
-FREQUENT = 100_000
+#: A word that makes up at least one FREQUENT-th of all words is looked up in a broadcast table of at most 2 * FREQUENT words,
+#: whatever the corpus; so no other word is a hot key.
+FREQUENT = 50_000
 
 
 @lru_cache(maxsize=4)
@@ -49,40 +49,54 @@ def _encode_all(words: list[str], path: str) -> list[bytes]:
     return [np.array(enc.encode_single_piece(w.encode("utf-8", "replace")), kind).tobytes() for w in words]
 
 
-def word_table(texts: DataFrame, path: str) -> DataFrame:
-    """``w, n, packed``: each distinct word of ``texts`` (column ``words``), the number of its occurrences, and its ids, encoded once."""
+def frequent_words(texts: DataFrame, frequent: int) -> list[str]:
+    """At most 2 * ``frequent`` words of ``texts`` (column ``words``), among them every one with a share of one ``frequent``-th or more.
+
+    A task reports the words that make up one (2 * frequent)-th of its own words. A word that all tasks together don't report that
+    often has less than this share where it was not reported, and less than it where it was: together less than one frequent-th.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = batch.column("words").flatten().value_counts()
-            yield pa.RecordBatch.from_arrays([both.field("values"), both.field("counts")], ["w", "n"])
+        total, kept = 0, []
 
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            packed = pa.array(_encode_all(batch.column("w").to_pylist(), path), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("w"), batch.column("n"), packed], ["w", "n", "packed"])
+        def merged() -> pa.Table:
+            return pa.concat_tables(kept).group_by("w").aggregate([("n", "sum")]).rename_columns(["w", "n"])
 
-    counted = texts.select("words").mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    return materialize(counted.mapInArrow(code, "w string, n long, packed binary"), "words")
+        for batch in batches:
+            both = batch.column("words").flatten().value_counts()
+            total += len(batch.column("words").flatten())
+            kept.append(pa.table({"w": both.field("values"), "n": both.field("counts")}))
+            if sum(map(len, kept)) > 2_000_000:
+                kept = [merged()]
+        if kept:
+            all_ = merged()
+            often = all_.filter(pc.greater_equal(pc.multiply(all_["n"], 2 * frequent), total))
+            yield from often.append_column("total", pa.array([0] * len(often), pa.int64())).to_batches()
+            yield pa.RecordBatch.from_arrays([pa.array([""], pa.string()), pa.array([0], pa.int64()), pa.array([total], pa.int64())], ["w", "n", "total"])
+
+    reported = materialize(texts.select("words").mapInArrow(count, "w string, n long, total long"), "word-counts")
+    total = reported.agg(F.sum("total")).first()[0] or 0
+    counted = reported.where("n > 0").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") * (2 * frequent) >= total)
+    words = [r["w"] for r in counted.collect()]
+    release(reported)
+    return words
 
 
 def encode(df: DataFrame, id_col: str, text_col: str, path: str, frequent: int = FREQUENT) -> DataFrame:
     """``id, ids`` for each row: the token ids of the text, without special tokens; an empty list for null and empty texts.
 
-    Texts are split into words by the tokenizer's own pattern in Spark. Each distinct word is counted and encoded once, which
-    gives the distinct-word table. Its ``frequent`` most frequent words, most of any corpus, are looked up inside the rows of
-    their texts, from a broadcast of that fixed size; all other occurrences get their ids by a join with the table, by word, and
-    go back to their text by position. No text is cut; repeated ids give a row each, a null id too.
+    Texts are split into words by the tokenizer's own pattern in Spark. Words with a share of one ``frequent``-th, most of any
+    corpus, are looked up in a broadcast table of bounded size, inside the rows of their texts. The occurrences of all other words
+    are brought together by word; each partition is a table of its distinct words, each encoded once, from which ids go
+    back to their text by position. No text is cut; repeated ids give a row each, a null id too.
     """
     words = F.regexp_extract_all(F.coalesce(text_col, F.lit("")), F.lit(WORDS), F.lit(0)).alias("words")
-    split = materialize(df.select(F.col(id_col).alias("id"), words).withColumn("row", F.monotonically_increasing_id()), "split")
-    table = word_table(split, path)
-    most = table.orderBy(F.desc("n"), "w").limit(frequent)
-    top = {r["w"]: bytes(r["packed"]) for r in most.collect()}
-    known = split.sparkSession.sparkContext.broadcast((list(top), list(top.values())))
+    texts = df.select(F.col(id_col).alias("id"), words)
+    top = frequent_words(texts, frequent)
+    known = texts.sparkSession.sparkContext.broadcast((top, _encode_all(top, path)))
     kind = _packed(path)
     hole = np.iinfo(kind).max
-    id_type = split.schema["id"].dataType.simpleString()
+    id_type = texts.schema["id"].dataType.simpleString()
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # frequent words become their ids, each rare word a hole; the rare words go along in order
@@ -109,12 +123,23 @@ def encode(df: DataFrame, id_col: str, text_col: str, path: str, frequent: int =
             holes = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), lists.flatten().filter(pa.array(rare)))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(packed, pa.binary()), holes], ["id", "row", "packed", "rare"])
 
-    half = split.select("id", "row", "words").mapInArrow(look_up, f"id {id_type}, row long, packed binary, rare array<string>")
+    half = texts.withColumn("row", F.monotonically_increasing_id()).select("id", "row", "words").mapInArrow(look_up, f"id {id_type}, row long, packed binary, rare array<string>")
     half = materialize(half, "half-encoded")
-    release(split)
 
-    holes = half.select("row", F.posexplode("rare").alias("pos", "w"))
-    filled = holes.join(table.select("w", "packed"), "w").select("row", "pos", "packed")
+    def encode_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # words come sorted, so a word is met in one run; the last one of a batch is kept for the next
+        kept: dict[str, bytes] = {}
+        for batch in batches:
+            coded = batch.column("w").dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            new = [w for w in distinct if w not in kept]
+            table = kept | dict(zip(new, _encode_all(new, path)))
+            ids = pa.array([table[w] for w in distinct], pa.binary()).take(coded.indices)
+            kept = {w: table[w] for w in [batch.column("w")[-1].as_py()]} if len(coded) else kept
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("pos"), ids], ["row", "pos", "packed"])
+
+    holes = half.select("row", F.posexplode("rare").alias("pos", "w")).repartition("w").sortWithinPartitions("w").select("row", "pos", "w")
+    filled = holes.mapInArrow(encode_rare, "row long, pos int, packed binary")
     parts = half.select("row", "id", F.lit(-1).alias("pos"), "packed").unionByName(filled, allowMissingColumns=True)
     whole = parts.groupBy("row").agg(F.max("id").alias("id"), F.sort_array(F.collect_list(F.struct("pos", "packed"))).alias("parts"))
 
