@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.lookalikes import _BLANK, _INVISIBLE, suspects
 from millrace.operators.skew import hot_aware_join
-from millrace.session import materialize
+from millrace.session import materialize, release
 
 FIELDS = ("subject", "message", "normalized_text")
 _MIXED = re.compile("[A-Za-zÀ-ɏ][Ͱ-ԯ]|[Ͱ-ԯ][A-Za-zÀ-ɏ]")
@@ -21,8 +22,9 @@ PLACEHOLDERS = {"email": "<EMAIL>", "phone": "<PHONE>", "id_number": "<ID>", "ad
 #: Rounds of scoring on the graph of patterns and instances, the score from which an instance is accepted, and the weight, in
 #: instances, of the next wider pattern.
 ROUNDS, ACCEPT, SUPPORT = 4, 0.5, 8
-#: Bounds of what is broadcast: given names, contexts of names, frequent words.
-MAX_NAMES, MAX_CONTEXTS, MAX_WORDS = 5_000, 5_000, 20_000
+#: What is sent to every task is bounded by shares: a given name stands before at least one NAMES-th of all pairs of names, a context
+#: before one CONTEXTS-th of all names in texts, a frequent word is one WORDS-th of all words. So there are never more of them.
+NAMES, CONTEXTS, WORDS = 200_000, 100_000, 150_000
 #: A first name counts as given if it stands before this many different surnames in the forms' name fields.
 SURNAMES = 3
 #: Share of texts from which on a word is no surname.
@@ -119,14 +121,40 @@ def own_parts(text: str, name: str | None, mail: str | None) -> list[tuple[int,
     return spans
 
 
-def _context(left: str) -> tuple[str, str]:
-    """The two words, and the word, before an item; numbers count as one word."""
-    before = ["#" if w.isdigit() else w.lower() for w in _WORDS.findall(left[-60:])][-2:]
-    return " ".join(before), " ".join(before[-1:])
+class _Contexts:
+    """The two words, and the word, before a place of a text; numbers count as one word."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.words: list[str] | None = None
+
+    def before(self, at: int) -> tuple[str, str]:
+        if self.words is None:
+            found = list(_WORDS.finditer(self.text))
+            self.words = ["#" if m.group().isdigit() else m.group().lower() for m in found]
+            self.ends = [m.end() for m in found]
+        k = bisect_right(self.ends, at)
+        return " ".join(self.words[max(0, k - 2) : k]), " ".join(self.words[max(0, k - 1) : k])
 
 
 def shape_of(value: str) -> str:
-    return re.sub(r"[^\W\d_]", "A", re.sub(r"\d", "9", re.sub(r"\s+", " ", value)))[:40]
+    return re.sub(r"[^\W\d_]", "A", re.sub(r"\d", "9", re.sub(r"\s+", " ", value)))
+
+
+def form_of(kind: str, value: str) -> tuple[str, str]:
+    """(written form, seed) of an e-mail or street address: what its notation is, and whether that shows its kind beyond doubt.
+
+    An e-mail address does with a whole domain and no blanks around its sign, a street address with a second number (of a flat or place) or a place in front.
+    """
+    if kind == "email":
+        plain = re.sub(r"\s*[(\[{]\s*\w{3,6}\s*[)\]}]\s*", ".", re.sub(r"\s*[(\[{]\s*at\s*[)\]}]\s*", "@", value, flags=re.I))
+        form = re.sub(r"[\w+'-]+", "w", re.sub(r"\s+", "", plain))
+        return form, kind if not re.search(r"\s", plain) and "." in plain.rpartition("@")[2] else ""
+    low = value.lower()
+    words = _WORDS.findall(low)
+    street = next((w for w in words if w in _STREET_WORDS or w.endswith(_STREET_ENDS)), "")
+    street = next((e for e in _STREET_ENDS if street.endswith(e)), street)
+    return f"{'9' if low[:1].isdigit() else ''} {street}", kind if len(re.findall(r"\d+", low)) > 1 or re.match(r"г\b", low) else ""
 
 
 def seed_of(value: str) -> str:
@@ -161,10 +189,12 @@ def direct_items(text: str, words: list[str], frequent: frozenset[str] = frozens
 
 
 def given_names(forms: DataFrame, name_col: str) -> DataFrame:
-    """``w``: first words of form names that stand before at least SURNAMES different second words; at most MAX_NAMES."""
+    """``w``: first words of form names that stand before at least SURNAMES different second words, and before one NAMES-th of all pairs."""
     words = F.split(F.lower(F.trim(F.regexp_replace(F.col(name_col), r"\s+", " "))), " ")
     pairs = forms.select(words.alias("w")).where("size(w) = 2").select(F.col("w")[0].alias("w"), F.col("w")[1].alias("s")).where(r"w rlike '^\\p{L}{2,}$' and s rlike '^\\p{L}{3,}$'").distinct()
-    return pairs.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SURNAMES).orderBy(F.desc("n"), "w").limit(MAX_NAMES).select("w")
+    firsts = materialize(pairs.groupBy("w").agg(F.count(F.lit(1)).alias("n")), "pii-firsts")
+    total = firsts.agg(F.sum("n")).first()[0] or 0
+    return firsts.where((F.col("n") >= SURNAMES) & (F.col("n") * NAMES >= total)).select("w")
 
 
 def find(df: DataFrame, id_col: str, payload: str = "raw_payload", normalized: str = "normalized_text") -> DataFrame:
@@ -173,7 +203,8 @@ def find(df: DataFrame, id_col: str, payload: str = "raw_payload", normalized: s
     Seeds: given names of the forms' own name fields, and numbers whose written form or digits (the forms' phone fields) show
     their kind. The words around seeds are patterns; patterns and instances (contexts, written forms, given names) score each
     other for ROUNDS rounds in Spark, on counts of equal instances, and patterns that score high bring in instances never seen
-    as seeds. E-mail and street addresses show by their own form. Null and empty fields give nothing; a null payload leaves
+    as seeds. E-mail and street addresses whose notation shows them beyond doubt are seeds too; others need a context or a
+    notation that seeds have. Null and empty fields give nothing; a null payload leaves
     ``normalized_text``, of which the parts that repeat the form's name and e-mail are left out. Repeated ids give repeated rows.
     """
     spark = df.sparkSession
@@ -213,8 +244,9 @@ def find(df: DataFrame, id_col: str, payload: str = "raw_payload", normalized: s
     learned = materialize(texts.mapInArrow(learn, "k string, v string, n long"), "pii-words").groupBy("k", "v").agg(F.sum("n").alias("n"))
     learned = materialize(learned, "pii-counts")
     least = max(20, int(FREQUENT * rows.count()))
-    common = frozenset(r["v"] for r in learned.where(f"k = 'w' and n >= {least}").orderBy(F.desc("n"), "v").limit(MAX_WORDS).collect()) - names
-    contexts = frozenset(r["v"] for r in learned.where("k = 'c' and n >= 3").orderBy(F.desc("n"), "v").limit(MAX_CONTEXTS).collect())
+    totals = {r["k"]: r["n"] for r in learned.groupBy("k").agg(F.sum("n").alias("n")).collect()}
+    common = frozenset(r["v"] for r in learned.where(F.expr(f"k = 'w' and n >= {least}") & (F.col("n") * WORDS >= totals.get("w", 0))).collect()) - names
+    contexts = frozenset(r["v"] for r in learned.where(F.expr("k = 'c' and n >= 3") & (F.col("n") * CONTEXTS >= totals.get("c", 0))).collect())
     b_common, b_contexts = spark.sparkContext.broadcast(common), spark.sparkContext.broadcast(contexts)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,12 +267,13 @@ def find(df: DataFrame, id_col: str, payload: str = "raw_payload", normalized: s
                         out.append((i, field, cls, place(a), place(b) - place(a), l2, l1, form, seed))  # noqa: B023
 
                     taken = list(blocked)
+                    context = _Contexts(text)
                     low = _PAIR.findall(text.lower())
                     for kind, a, b in direct_items(text, low, frequent):
                         if not inside(a, b):
                             taken.append((a, b))
                             if kind != "url":
-                                add(kind, a, b)
+                                add(kind, a, b, *context.before(a), *form_of(kind, text[a:b]))
                     for m in _NUMBER.finditer(text) if _MAYBE_NUMBER.search(text) else ():
                         a, b = m.span()
                         v = m.group()
@@ -248,8 +281,7 @@ def find(df: DataFrame, id_col: str, payload: str = "raw_payload", normalized: s
                         if digits < 6 or any(a < y and b > x for x, y in taken) or re.fullmatch(r"[A-Za-z]{2}-\d{3,6}", v):
                             continue
                         taken.append((a, b))
-                        l2, l1 = _context(text[:a])
-                        add("number", a, b, l2, l1, shape_of(v), seed_of(v))
+                        add("number", a, b, *context.before(a), shape_of(v), seed_of(v))
                     pairs = [k for k, w in enumerate(low[:-1]) if w in given or (k and low[k - 1] in lasts)]
                     if not pairs:
                         continue
@@ -268,7 +300,7 @@ def find(df: DataFrame, id_col: str, payload: str = "raw_payload", normalized: s
                         a, b = found[k][0], found[k + 1][1]
                         if any(a < y and b > x for x, y in taken):
                             continue
-                        add("name", a, b, l2, "", w, "name" if seeded else "")
+                        add("name", a, b, l2, w, w, "name" if seeded else "")
             cols = list(zip(*out)) if out else [()] * 9
             kinds = [batch.column("id").type, pa.string(), pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["id", "field", "cls", "start", "length", "l2", "l1", "form", "seed"])
@@ -276,39 +308,47 @@ def find(df: DataFrame, id_col: str, payload: str = "raw_payload", normalized: s
     id_type = rows.schema["id"].dataType.simpleString()
     items = rows.mapInArrow(candidates, f"id {id_type}, field string, cls string, start int, length int, l2 string, l1 string, form string, seed string")
     items = materialize(items, "pii-items")
-    shown = items.where("cls in ('email', 'address')").select("id", "field", F.col("cls").alias("kind"), "start", "length")
-    judged = items.where("cls in ('number', 'name')")
     keys = ["cls", "l2", "l1", "form", "seed"]
-    equal = materialize(judged.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "pii-equal")
+    equal = materialize(items.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "pii-equal")
     scored = materialize(score(equal).where("kind is not null").select(*keys, "n", "kind"), "pii-scored")
-    accepted = hot_aware_join(judged, scored, keys, "n", max(judged.count(), 1))
-    return shown.unionByName(accepted.select("id", "field", "kind", "start", "length"))
+    release(equal)
+    return hot_aware_join(items, scored, keys, "n", max(items.count(), 1)).select("id", "field", "kind", "start", "length")
 
 
 def score(equal: DataFrame) -> DataFrame:
     """``kind`` (or null) of each class of equal instances, by ROUNDS rounds of scoring between instances and their patterns.
 
-    A seed keeps the kind it shows. A pattern's score for a kind is the share of that kind among the instances it holds, one
-    more counted as of none. A number that is no seed gets the score of the two words before it, smoothed by that of the word
-    before it, smoothed by that of its written form, each wider pattern counting as SUPPORT instances. A pair of words gets the higher score of the words before
-    it and of its first word, which may become a given name that no form has shown.
+    Patterns are the two words before an instance, the word before it and its written form (of a name: its first word). A
+    pattern's score for a kind is the share of that kind among the instances it holds, one more counted as of none. An instance
+    gets the score of the two words before it, smoothed by that of the word before it, smoothed by that of its written form, each
+    wider pattern counting as SUPPORT instances. A seed gets the share of its kind among the seeds of its context, what it shows by
+    itself counting as SUPPORT seeds more, so that it loses its kind only where others are usual. A pair of words gets the higher score of the words before it and of its
+    first word, which may become a given name that no form has shown.
     """
-    kinds = ("phone", "id_number", "name")
+    kinds = tuple(PLACEHOLDERS)
     state = equal
     for k in kinds:
         state = state.withColumn(k, F.when(F.col("seed") == k, 1.0).otherwise(0.0))
+    rows = max(equal.count(), 1)
+    state = materialize(state, "pii-round")
     for _ in range(ROUNDS):
         scores = state
         for column in ("l2", "l1", "form"):
             total = F.sum("n") + 1.0
-            pattern = state.groupBy("cls", column).agg(total.alias(f"{column}_n"), *[(F.sum(F.col(k) * F.col("n")) / total).alias(f"{column}_{k}") for k in kinds])
-            scores = scores.join(pattern, ["cls", column])
+            measures = [total.alias(f"{column}_n"), *[(F.sum(F.col(k) * F.col("n")) / total).alias(f"{column}_{k}") for k in kinds]]
+            if column == "l2":
+                measures += [F.sum(F.when(F.col("seed") != "", F.col("n")).otherwise(0)).alias("seeds"), *[F.sum(F.when(F.col("seed") == k, F.col("n")).otherwise(0)).alias(f"seeds_{k}") for k in kinds]]
+            pattern = state.groupBy("cls", column).agg(F.count(F.lit(1)).alias("_rows"), *measures)
+            scores = hot_aware_join(scores, pattern, ["cls", column], "_rows", rows).drop("_rows")
         for k in kinds:
             wide = (F.col("l1_n") * F.col(f"l1_{k}") + SUPPORT * F.col(f"form_{k}")) / (F.col("l1_n") + SUPPORT)
-            number = (F.col("l2_n") * F.col(f"l2_{k}") + SUPPORT * wide) / (F.col("l2_n") + SUPPORT)
+            near = (F.col("l2_n") * F.col(f"l2_{k}") + SUPPORT * wide) / (F.col("l2_n") + SUPPORT)
             name = F.greatest(F.col(f"l2_{k}"), F.col(f"form_{k}"))
-            scores = scores.withColumn(f"new_{k}", F.when(F.col("seed") == k, 1.0).when(F.col("seed") != "", 0.0).when(F.col("cls") == "name", name).otherwise(number))
-        state = materialize(scores.select(*equal.columns, *[F.col(f"new_{k}").alias(k) for k in kinds]), "pii-round")
+            shown = (SUPPORT + F.col(f"seeds_{k}")) / (SUPPORT + F.col("seeds"))
+            new = F.when((F.col("cls") == "name") & (F.col("seed") == k), 1.0).when(F.col("seed") == k, shown).when(F.col("seed") != "", 0.0).when(F.col("cls") == "name", name).otherwise(near)
+            scores = scores.withColumn(f"new_{k}", new)
+        old, state = state, materialize(scores.select(*equal.columns, *[F.col(f"new_{k}").alias(k) for k in kinds]), "pii-round")
+        release(old)
     best = F.greatest(*[F.col(k) for k in kinds])
     kind = F.when(best < ACCEPT, None)
     for k in kinds:
