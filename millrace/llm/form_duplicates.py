@@ -11,24 +11,24 @@ from millrace.session import materialize
 
 
 def encode_fields(df: DataFrame, group: str, id_col: str, text_col: str, separator: str = r"\|") -> DataFrame:
-    """``group, id, fields``: each record as the sorted tuple of integer ids of its canonical field values.
+    """``group, id, fields``: each row as the sorted tuple of integer ids of its canonical field values.
 
     The column of field values is dictionary-encoded: each distinct value is canonicalised once (reduced text) and gets a
     128-bit integer drawn from the canonical value, so that ids need no counter shared by tasks and come out the same when a
     task is run again. Records then carry integers only. Values that occur in many records are joined hot-aware.
     Null texts have no row; fields that reduce to nothing (blank, only punctuation) don't count, so such texts have an empty tuple.
     """
-    base = df.select(F.col(group), F.col(id_col).alias("id"), F.col(text_col).alias("_t")).where("_t is not null")
-    parts = base.select(group, "id", F.explode(F.split("_t", separator)).alias("_p"))
+    base = df.select(F.col(group), F.col(id_col).alias("id"), F.col(text_col).alias("_t")).where("_t is not null").withColumn("_row", F.monotonically_increasing_id())
+    parts = base.select(group, "id", "_row", F.explode(F.split("_t", separator)).alias("_p"))
     values = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("n"))
     dictionary = values.withColumn("_c", reduced(F.col("_p"))).select(
         *digest(F.col("_p")), F.when(F.col("_c") != "", F.struct(*digest(F.col("_c")))).alias("value_id"), "n"
     )
     dictionary = materialize(dictionary, "dictionary")
-    coded = parts.select(group, "id", *digest(F.col("_p")))
+    coded = parts.select(group, "id", "_row", *digest(F.col("_p")))
     total = dictionary.agg(F.sum("n")).first()[0] or 0
     joined = hot_aware_join(coded, dictionary, ["k1", "k2"], "n", total)
-    return joined.groupBy(group, "id").agg(F.sort_array(F.collect_list("value_id")).alias("fields"))
+    return joined.groupBy(group, "id", "_row").agg(F.sort_array(F.collect_list("value_id")).alias("fields")).drop("_row")
 
 
 def collapse(df: DataFrame, group: str, id_col: str, text_col: str) -> DataFrame:

@@ -108,8 +108,8 @@ def unify(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, text, r1, r2``: each non-null text in its one form; r1, r2 stand for the original string.
 
     First the forms of characters are folded. Then look-alike letters are repaired by token: a token that mixes scripts (or
-    could be of the text's script) gets the letters of its own script, if the result is a word of the corpus: it occurs as a
-    token of its own anywhere, or is reached from two different spellings. Case, punctuation, line ends and the number of
+    is drawn alike throughout and stands in a text of another script) gets the letters of its own script, if the result is a word
+    of the corpus: it occurs anywhere as a token that needs no repair. Case, punctuation, line ends and the number of
     blanks stay. Empty texts stay empty; ids may repeat.
     """
 
@@ -127,11 +127,11 @@ def unify(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     folded = materialize(base.select("id", "text", r1.alias("r1"), r2.alias("r2")).mapInArrow(fold, f"{columns}, suspects array<struct<t:string,c:string>>"), "folded")
     doubtful = folded.where("suspects is not null").select("r1", "r2", "text", F.explode("suspects").alias("s")).select("r1", "r2", F.col("s.t").alias("t"), F.col("s.c").alias("c"))
     spellings = materialize(doubtful.groupBy("t", "c").agg(F.count(F.lit(1)).alias("n")), "spellings")
-    wanted = spellings.groupBy("c").agg(F.count(F.lit(1)).alias("ways"))
+    wanted = spellings.select("c").distinct()
     # words of the corpus, as 64-bit hashes; a token that needs repair itself is no word
     letters = r"[\p{L}\p{M}]+"
     words = folded.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(letters), F.lit(0)))).alias("w")).select(F.xxhash64("w").alias("w")).distinct()
-    known = wanted.join(words, F.xxhash64("c") == F.col("w"), "left").where("w is not null or ways > 1").select("c")
+    known = wanted.join(words, F.xxhash64("c") == F.col("w")).select("c")
     accepted = materialize(spellings.join(known, "c").select("t", "c", "n"), "accepted")
     total = spellings.agg(F.sum("n")).first()[0] or 0
     one = doubtful.select("r1", "r2", "t", "c").distinct()

@@ -24,6 +24,8 @@ def test_form_duplicates_equal_brute_force(spark):
             groups[tuple(sorted(filter(None, map(reduced, t.split("|")))))].append(i)
     assert got == {(i, min(g), len(g)) for g in groups.values() if len(g) > 1 for i in g}
     assert form_duplicates.collapse(df.limit(0), "tab", "id", "text").count() == 0
+    again = spark.createDataFrame([("t", 5, "a | b"), ("t", 5, "B|A"), ("t", 7, "c"), ("t", 7, "d"), ("t", 9, "D")], "tab string, id long, text string")
+    assert sorted((x["id"], x["rep_id"], x["copies"]) for x in form_duplicates.collapse(again, "tab", "id", "text").collect()) == [(5, 5, 2), (5, 5, 2), (7, 7, 2), (9, 7, 2)]
 
 
 def skeleton(t):
