@@ -132,8 +132,9 @@ def levenshtein_ratio(a: Column, b: Column, prefix: int = 255) -> Column:
 
 def repetitive(text: Column, threshold: int = 10) -> Column:
     """Whether a character follows itself ``threshold`` times, or a word occurs ``threshold`` times."""
-    w = tokens(text)
-    often = F.exists(F.array_distinct(w), lambda x: F.size(F.filter(w, lambda y: y == x)) >= threshold)
+    w = F.array_sort(tokens(text))
+    places = F.when(F.size(w) >= threshold, F.sequence(F.lit(1), F.size(w) - (threshold - 1)))
+    often = F.coalesce(F.exists(places, lambda i: F.element_at(w, i) == F.element_at(w, i + (threshold - 1))), F.lit(False))
     return F.coalesce(text.rlike(rf"(.)\1{{{threshold},}}"), F.lit(False)) | often
 
 

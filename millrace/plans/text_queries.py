@@ -143,7 +143,10 @@ def attack_patterns(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.array_join(F.transform(tx.attacks(F.coalesce("text", F.lit(""))), lambda k: F.concat(k, F.lit(" "))), "").alias("kinds"))
 
 
-@query()
+@query(
+    "select id from (select id, coalesce(raw_payload.message, '') m from submissions) where coalesce(list_bool_or(list_transform(list_filter(list_distinct(string_split(m, '')), lambda c: c not in ('', chr(10), chr(13), chr(133), chr(8232), chr(8233))), lambda c: contains(m, repeat(c, 11)))), false)"
+    " or coalesce(list_max(map_values(list_aggregate(list_filter(regexp_split_to_array(m, '\\s+'), lambda w: w not in ('', '0')), 'histogram'))), 0) >= 10"
+)
 def repetitive_messages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "submissions").where(tx.repetitive(F.col("raw_payload.message"))).select("id")
 
