@@ -68,14 +68,15 @@ def target_rules(found: DataFrame, consequent: str, barred: Sequence[str], margi
 
 
 def sensitivity(itemsets: DataFrame, supports: Sequence[float], confidences: Sequence[float]) -> DataFrame:
-    """Sets and rules at each pair of thresholds; mined once at the lowest support, then filtered."""
+    """Sets and rules at each pair of thresholds, 0 where there is none; mined once at the lowest support, then filtered."""
     spark = itemsets.sparkSession
     s = F.broadcast(spark.createDataFrame([(float(x),) for x in supports], "min_support double"))
     c = F.broadcast(spark.createDataFrame([(float(x),) for x in confidences], "min_confidence double"))
     found = rules(itemsets, min(confidences))
     sets = itemsets.join(s, itemsets["support"] >= s["min_support"] - 1e-12).groupBy("min_support").agg(F.count(F.lit(1)).alias("itemsets"))
-    grid = found.join(s, found["support"] >= s["min_support"] - 1e-12).join(c, F.col("confidence") >= c["min_confidence"] - 1e-12).groupBy("min_support", "min_confidence").agg(F.count(F.lit(1)).alias("rules"))
-    return grid.join(sets, "min_support")
+    cells = found.join(s, found["support"] >= s["min_support"] - 1e-12).join(c, F.col("confidence") >= c["min_confidence"] - 1e-12).groupBy("min_support", "min_confidence").agg(F.count(F.lit(1)).alias("rules"))
+    grid = s.join(c, F.lit(True)).join(cells, ["min_support", "min_confidence"], "left").join(sets, "min_support", "left")
+    return grid.select("min_support", "min_confidence", F.coalesce("rules", F.lit(0)).alias("rules"), F.coalesce("itemsets", F.lit(0)).alias("itemsets"))
 
 
 def verify_rule(tx: DataFrame, items: str, antecedent: Sequence[str], consequent: Sequence[str]) -> DataFrame:

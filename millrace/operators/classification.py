@@ -46,14 +46,18 @@ def knn(train: DataFrame, test: DataFrame, key: str, x: str, label: str, k: int,
         for pdf in frames:
             if pdf.empty:
                 continue
-            q = np.array(pdf[x].tolist(), float)
-            best: list[list[tuple]] = [[] for _ in range(len(q))]
-            for p in parts:
-                ids, data, labels = p.value
-                d = ((q[:, None, :] - data[None, :, :]) ** 2).sum(axis=2)
-                top = np.argsort(d, axis=1, kind="stable")[:, : k + 1]
-                for i, row in enumerate(top):
-                    best[i] = sorted([*best[i], *((round(float(d[i, j]), 9), ids[j], labels[j]) for j in row)])[: k + 1]
+            vectors = np.array(pdf[x].tolist(), float)
+            best: list[list[tuple]] = [[] for _ in range(len(vectors))]
+            for lo in range(0, len(vectors), 256):
+                q = vectors[lo : lo + 256]
+                for p in parts:
+                    ids, data, labels = p.value
+                    # a few more than needed by the fast form, whose rounding could swap near ones; these are measured exactly
+                    fast = (q * q).sum(1)[:, None] - 2 * q @ data.T + (data * data).sum(1)[None, :]
+                    some = min(k + 9, len(data))
+                    for i, row in enumerate(np.argpartition(fast, some - 1, axis=1)[:, :some]):
+                        exact = ((q[i] - data[row]) ** 2).sum(1)
+                        best[lo + i] = sorted([*best[lo + i], *((round(float(d), 9), ids[j], labels[j]) for d, j in zip(exact, row))])[: k + 1]
             votes = [sum(b[2] for b in row[:k]) for row in best]
             tie = [len(row) > k and row[k][0] == row[k - 1][0] for row in best]
             yield pd.DataFrame({key: pdf[key].to_numpy(), "prediction": [int(2 * v > min(k, len(row))) for v, row in zip(votes, best)], "tie": tie})

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from millrace.functions import calendar
 from millrace.functions import text as tx
 from millrace.operators import relational as rel
+from millrace.operators.skew import hot_aware_left_join
+from millrace.session import materialize
 
 #: Columns of a raw export; ``src_row`` stands for the order of its lines.
 RAW = "src_row long, ts timestamp, first string, middle string, last string, full string, email string, phone string, subject string, message string, trap string"
@@ -75,7 +77,7 @@ def features(df: DataFrame, least_domain: int = 5) -> DataFrame:
     masked = tx.mask_pii(F.col("message"), F.col("name"))
     d = df.withColumn("masked", masked).withColumn("template_id", tx.template_id(F.col("masked"))).withColumn("email_domain", F.nullif(F.regexp_extract(F.lower("email"), "@(.+)$", 1), F.lit("")))
     counts = d.where("template_id <> ''").groupBy("template_id").agg(F.count(F.lit(1)).alias("template_count"))
-    d = d.join(counts, "template_id", "left").withColumn("template_count", F.coalesce("template_count", F.lit(0)))
+    d = hot_aware_left_join(materialize(d, "templates"), counts, ["template_id"]).withColumn("template_count", F.coalesce("template_count", F.lit(0)))
     d = rel.rare_to_other(d, "email_domain", least_domain)
     t, c, k = tx.text_features(F.col("masked")), tx.contact_features(*map(F.col, ("name", "email", "phone", "message"))), calendar.parts(F.col("timestamp"))
     return d.select(

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.skew import hot_aware_left_join
 from millrace.session import materialize
 
 
@@ -40,8 +41,8 @@ def one_hot(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
 def rare_to_other(df: DataFrame, column: str, least: int = 5, other: str = "other", none: str = "none") -> DataFrame:
     """Values of fewer than ``least`` rows become ``other``, nulls ``none``; counts come by partial aggregation and a join."""
     often = df.groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
-    joined = df.join(often, df[column] == often["_v"], "left")
-    return joined.withColumn(column, F.when(df[column].isNull(), none).when(F.col("_v").isNull(), other).otherwise(df[column])).drop("_v", "_n")
+    joined = hot_aware_left_join(df, often.withColumnRenamed("_v", column), [column])
+    return joined.withColumn(column, F.when(F.col(column).isNull(), none).when(F.col("_n").isNull(), other).otherwise(F.col(column))).drop("_n")
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:

@@ -9,6 +9,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.skew import hot_aware_left_join
+from millrace.session import materialize
+
 SEVERITIES = ("low", "medium", "high", "critical")
 #: From these scores on a row is medium, high and critical.
 LADDER = ((100, "critical"), (60, "high"), (30, "medium"))
@@ -166,4 +169,5 @@ def with_signature(df: DataFrame, signatures: DataFrame, clusters: DataFrame) ->
 
     members = clusters.select(F.col("id").alias("cluster_id"), F.explode("signature_ids").alias("sid")).groupBy("sid").agg(F.min("cluster_id").alias("cluster_id"))
     known = signatures.select(F.col("signature_hash").alias("_h"), "occurrence", "id").join(members, F.col("id") == F.col("sid"), "left").select("_h", "occurrence", "cluster_id")
-    return df.withColumn("_h", signature_hash(template_v2(F.col("normalized_text")))).join(known, "_h", "left").drop("_h")
+    known = known.groupBy("_h").agg(F.max("occurrence").alias("occurrence"), F.min("cluster_id").alias("cluster_id"))
+    return hot_aware_left_join(materialize(df.withColumn("_h", signature_hash(template_v2(F.col("normalized_text")))), "hashed"), known, ["_h"]).drop("_h")

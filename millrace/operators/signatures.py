@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import signature_hash, template_v2
 from millrace.operators.relational import last_n
+from millrace.session import materialize
 
 
 def extract(df: DataFrame, key: str, text: str, ts: str, least: int = 1, samples: int = 10) -> DataFrame:
@@ -15,7 +16,7 @@ def extract(df: DataFrame, key: str, text: str, ts: str, least: int = 1, samples
     A second run over the same rows gives the same table. Null texts have no signature.
     """
     rows = df.where(F.col(text).isNotNull()).select(key, ts, template_v2(F.col(text)).alias("pattern"))
-    rows = rows.where("pattern <> ''").withColumn("signature_hash", signature_hash(F.col("pattern")))
+    rows = materialize(rows.where("pattern <> ''").withColumn("signature_hash", signature_hash(F.col("pattern"))), "patterns")
     base = rows.groupBy("signature_hash", "pattern").agg(F.count(F.lit(1)).alias("occurrence"), F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen")).where(F.col("occurrence") >= least)
     return base.join(last_n(rows, "signature_hash", ts, key, samples).withColumnRenamed("items", "sample_ids"), "signature_hash")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,6 +37,25 @@ def hot_aware_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], coun
     return few.unionByName(rest)
 
 
+def hot_aware_left_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], share: int = HOT_SHARE) -> DataFrame:
+    """Every row of ``rows`` with the columns of ``lookup`` (unique on ``keys``), null where it has no such key.
+
+    Keys with more than one share-th of the rows, fewer than ``share``, are found by :func:`heavy_keys` and joined by broadcast;
+    rows with a null key match nothing and are not shuffled either.
+    """
+    keys = list(keys)
+    null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    marked = rows.where(~null).withColumn("_hk", F.xxhash64(*keys))
+    hot = [r["_hk"] for r in heavy_keys(marked.select("_hk"), "_hk", share=1 / share).select("_hk").collect()]
+    lookup = lookup.dropDuplicates(keys).withColumn("_hk", F.xxhash64(*keys))
+    is_hot = F.col("_hk").isin(hot) if hot else F.lit(False)
+    cold = marked.where(~is_hot).drop("_hk").join(lookup.where(~is_hot).drop("_hk"), keys, "left")
+    out = cold.unionByName(rows.where(null), allowMissingColumns=True)
+    if hot:
+        out = out.unionByName(marked.where(is_hot).drop("_hk").join(F.broadcast(lookup.where(is_hot).drop("_hk")), keys, "left"))
+    return out
+
+
 def members_of_groups(rows: DataFrame, keys: Sequence[str], id_col: str, extra: Sequence[Column] = (), keep: Sequence[str] = ()) -> DataFrame:
     """Every row of a group of at least two rows, with ``rep_id`` (the group's smallest id), ``copies`` and ``extra`` aggregates.
 
@@ -81,7 +101,8 @@ def key_profile(df: DataFrame, key: str, weight: Column | None = None, distinct:
 def exact_quantiles(df: DataFrame, key: str, value: str, probs: Sequence[float], bins: int = 256, share: int = HOT_SHARE) -> DataFrame:
     """Exact per-key quantiles (``key, prob, value``) of an integer column: the value of rank ceil(prob * n), 1 at least.
 
-    Keys with at most total/share rows are ranked within their own group. Hot keys, of which there are fewer than ``share``,
+    Keys with at most total/share rows are ranked by running counts over a global order of key and value, cut into ranges, so that
+    no key is in one task as a whole. Hot keys, of which there are fewer than ``share``,
     are solved by distributed selection: each round counts the values of every open interval in ``bins`` equal bins by partial
     aggregation, keeps the bin that holds the rank, and ends when bins are one value wide; values of a hot key are never
     gathered. A 64-bit range takes at most eight rounds. Null values take no part; a key without values has no row.
@@ -92,12 +113,20 @@ def exact_quantiles(df: DataFrame, key: str, value: str, probs: Sequence[float],
     total = counts.agg(F.sum("_n")).first()[0] or 0
     ps = sorted(set(probs))
     prob_col = F.explode(F.array(*[F.lit(float(p)) for p in ps])).alias("prob")
-    hot = counts.where(F.col("_n") * share > total).limit(share)
+    hot = counts.where(F.col("_n") * share > total)  # fewer than share
     cold_rows = rows.join(F.broadcast(hot.select("_key")), "_key", "left_anti")
+    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranged = cold_rows.groupBy("_key", "_v").agg(F.count(F.lit(1)).alias("_c")).repartitionByRange(parts, "_key", "_v").withColumn("_p", F.spark_partition_id())
+    ranged = materialize(ranged, "quantile-ranges")
+    # a key has one row for each range it lies in
     w = Window.partitionBy("_key")
-    ranked = cold_rows.select("_key", "_v", F.row_number().over(w.orderBy("_v")).alias("_r"), F.count(F.lit(1)).over(w).alias("_n"))
+    pieces = ranged.groupBy("_key", "_p").agg(F.sum("_c").alias("_m"))
+    before = F.coalesce(F.sum("_m").over(w.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pieces = pieces.select("_key", "_p", before.alias("_before"), F.sum("_m").over(w).alias("_n"))
+    upto = F.sum("_c").over(Window.partitionBy("_key", "_p").orderBy("_v")) + F.col("_before")
+    ranked = ranged.join(pieces, ["_key", "_p"]).select("_key", "_v", "_c", "_n", upto.alias("_r"))
     rank = F.greatest(F.ceil(F.col("prob") * F.col("_n")), F.lit(1)).cast("long")
-    cold = ranked.select("*", prob_col).where(F.col("_r") == rank).select("_key", "prob", F.col("_v").alias("value"))
+    cold = ranked.select("*", prob_col).where((F.col("_r") >= rank) & (F.col("_r") - F.col("_c") < rank)).select("_key", "prob", F.col("_v").alias("value"))
 
     # Driver state: one interval for each (hot key, prob), fewer than share * len(probs).
     state = {(r["_key"], p): [r["_lo"], r["_hi"], max(1, -int(-(p * r["_n"]) // 1))] for r in hot.collect() for p in ps}

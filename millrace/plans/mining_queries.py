@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import association, classification, clustering, evaluation, reduction, regression, similarity
 from millrace.plans.registry import query
+from millrace.session import materialize
 from millrace.sources.tables import table
 
 
@@ -186,7 +187,7 @@ _MNB = f"""tf as (select doc_id, term, count(*) tf from {_tok('documents', 'doc_
 
 def _nb(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     s = table(spark, d, "documents").select("doc_id", "text", "doc_kind")
-    counts = similarity.term_counts(s, "doc_id", "text")
+    counts = materialize(similarity.term_counts(s, "doc_id", "text"), "terms")
     labels = s.where("doc_kind is not null").select("doc_id", (F.col("doc_kind") == "spam").cast("int").alias("y"))
     return s, counts, labels, *classification.multinomial_nb(counts, labels, "doc_id", "y")
 
@@ -202,7 +203,8 @@ def mnb_predict(spark: SparkSession, d: str) -> DataFrame:
     return classification.multinomial_predict(counts, s, "doc_id", "y", prior, like)
 
 
-@query(f"with {_MNB}, n as (select term, sum(tf) n from tf join lab using (doc_id) group by 1 having sum(tf) >= 30) select n.term, n.n::bigint n, round(a.ll - b.ll, 6) llr from n join ll a on a.term = n.term and a.y = 1 join ll b on b.term = n.term and b.y = 0")
+@query(f"""with x as (select term, y, count(*) tf from {_tok('documents', 'doc_id')} join {_LAB} lab using (doc_id) group by 1, 2), w as (select term, sum(tf) n, coalesce(sum(case when y = 1 then tf end), 0) a, coalesce(sum(case when y = 0 then tf end), 0) b from x group by 1),
+ t as (select sum(a) ta, sum(b) tb, count(*) v from w) select term, n::bigint n, round(ln((a + 1.0) / (ta + v)) - ln((b + 1.0) / (tb + v)), 6) llr from w, t where n >= 30""")
 def word_llr(spark: SparkSession, d: str) -> DataFrame:
     _, counts, labels, _, _ = _nb(spark, d)
     return classification.word_ratios(counts, labels, "doc_id", "y").withColumn("llr", F.round("llr", 6))

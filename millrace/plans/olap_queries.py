@@ -201,8 +201,8 @@ def count_distincts(spark: SparkSession, d: str) -> DataFrame:
 @query("""select n_name, year(o_orderdate) as year, count(*) orders, round(sum(o_totalprice), 2) total from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey
  join region on n_regionkey = r_regionkey where r_name = 'EUROPE' group by 1, 2""")
 def star_join_year(spark: SparkSession, d: str) -> DataFrame:
-    """A star join: the small dimensions are of fixed size (25 nations, 5 regions) and broadcast by their size."""
+    """A star join: the small dimensions are of fixed size (25 nations, 5 regions) and left to the optimiser, which broadcasts them by their size."""
     nations = table(spark, d, "nation").join(table(spark, d, "region").where("r_name = 'EUROPE'"), F.col("n_regionkey") == F.col("r_regionkey"))
-    customers = table(spark, d, "customer").select("c_custkey", "c_nationkey").join(F.broadcast(nations.limit(25)), F.col("c_nationkey") == F.col("n_nationkey"))
+    customers = table(spark, d, "customer").select("c_custkey", "c_nationkey").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
     j = table(spark, d, "orders").select("o_custkey", "o_orderdate", "o_totalprice").join(customers, F.col("o_custkey") == F.col("c_custkey"))
     return j.groupBy("n_name", F.year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))

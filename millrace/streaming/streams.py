@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,17 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.functions.text import signature_hash, template_v2
 from millrace.operators import rules
-
-#: Longest payload that is taken, in characters.
-MAX_PAYLOAD = 10_240
-
-
-def accepted(df: DataFrame) -> DataFrame:
-    """``valid`` and ``reason``: size and required fields; invalid rows are marked for quarantine, not dropped."""
-    size = F.char_length(F.to_json("raw_payload"))
-    missing = F.coalesce(F.trim("raw_payload.email"), F.lit("")) == ""
-    reason = F.when(F.col("raw_payload").isNull(), "no payload").when(size > MAX_PAYLOAD, "too large").when(missing, "no e-mail")
-    return df.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull())
+from millrace.operators.ingest import accepted  # noqa: F401
 
 
 def scored(stream: DataFrame) -> DataFrame:
@@ -46,25 +37,25 @@ def sliding_rate(stream: DataFrame, key: str, ts: str, width: str = "10 minutes"
 def exact_rate(stream: DataFrame, key: str, ts: str, row_id: str, minutes: int = 10, delay: str = "10 minutes") -> DataFrame:
     """``key, row_id, recent``: the exact trailing count of each row, itself included, by a buffer of recent times for each key.
 
-    The state of a key holds only the times of the last ``minutes`` and goes once the watermark has passed them. Rows of a key are
-    counted in event-time order within a batch. Rows without key or time are left out.
+    The state of a key holds its times in order, back to ``minutes`` before the watermark: no row that is still taken looks further
+    back. It goes once the watermark has passed them all. A row counts those seen so far, of its own batch or an earlier one; rows
+    without key or time are left out.
     """
     span = minutes * 60 * 1_000_000
 
     def count(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mark = state.getCurrentWatermarkMs() * 1000
         if state.hasTimedOut:
             state.remove()
             return
-        kept = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(frames)).sort_values(["_us", row_id])
-        out = []
-        for t in rows["_us"]:
-            kept = [x for x in kept if x >= t - span]
-            kept.append(int(t))
-            out.append(sum(x <= t for x in kept))
-        state.update((kept,))
-        state.setTimeoutTimestamp(max((max(kept) + span) // 1000, state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame({key: [k[0]] * len(rows), row_id: rows[row_id].to_numpy(), "recent": out})
+        new = rows["_us"].to_numpy(np.int64)
+        times = np.sort(np.concatenate([np.array(state.get[0] if state.exists else [], np.int64), new]), kind="stable")
+        recent = np.searchsorted(times, new, "right") - np.searchsorted(times, new - span, "left")
+        kept = times[np.searchsorted(times, mark - span, "left") :] if mark > 0 else times
+        state.update((kept.tolist(),))
+        state.setTimeoutTimestamp(max((int(times[-1]) + span) // 1000, state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame({key: [k[0]] * len(rows), row_id: rows[row_id].to_numpy(), "recent": recent})
 
     kinds = {n: t for n, t in stream.dtypes}
     typed = stream.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).withWatermark(ts, delay).select(key, row_id, ts, F.unix_micros(ts).alias("_us"))
