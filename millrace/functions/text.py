@@ -125,7 +125,11 @@ def word_ngrams(text: Column, n: int = 3) -> Column:
 
 
 def levenshtein_ratio(a: Column, b: Column, prefix: int = 255) -> Column:
-    """1 - distance of the first ``prefix`` characters / length of the longer text; 1 for two empty texts."""
+    """1 - distance of the first ``prefix`` bytes / bytes of the longer text; 1 for two empty texts.
+
+    A character of the 8-bit code stands for each byte.
+    """
+    a, b = (F.decode(F.encode(x, "UTF-8"), "ISO-8859-1") for x in (a, b))
     longest = F.greatest(F.char_length(a), F.char_length(b))
     return F.when(longest == 0, 1.0).otherwise(1.0 - F.levenshtein(F.left(a, F.lit(prefix)), F.left(b, F.lit(prefix))) / longest)
 

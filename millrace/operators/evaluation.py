@@ -57,6 +57,29 @@ def stratified_folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int
     return df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), F.col(label), F.col(key)), F.lit(k)).cast("int"))
 
 
+def grouped_stratified_folds(df: DataFrame, group: str, label: str, k: int = 5, share: int = 1000) -> DataFrame:
+    """``fold`` such that rows of a group share one and every fold has about the same rows of each label.
+
+    Groups are counted by label. The ``share`` largest at most are placed one after the other, where the label shares stay closest to
+    even; all others, each less than one share-th of the rows, go by the hash of the group, which is even in expectation.
+    """
+    known = df.where(F.col(group).isNotNull())
+    sizes = known.groupBy(group).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.coalesce(F.col(label) != 1, F.lit(True))).alias("q"))
+    total = sizes.agg(F.sum(F.col("p") + F.col("q")).alias("n")).first()["n"] or 0
+    large = sizes.where((F.col("p") + F.col("q")) * share > total).orderBy(F.desc(F.col("p") + F.col("q")), group).collect()
+    load = [[0, 0] for _ in range(k)]
+    placed = {}
+    for r in large:
+        at = min(range(k), key=lambda f: ((load[f][0] + r["p"]) ** 2 + (load[f][1] + r["q"]) ** 2 - load[f][0] ** 2 - load[f][1] ** 2, f))
+        load[at][0] += r["p"]
+        load[at][1] += r["q"]
+        placed[r[group]] = at
+    fold = F.pmod(F.xxhash64(F.lit(42), F.col(group)), F.lit(k)).cast("int")
+    if placed:
+        fold = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in placed.items() for x in kv]), F.col(group)), fold)
+    return df.withColumn("fold", F.when(F.col(group).isNull(), F.pmod(F.xxhash64(*df.columns), F.lit(k)).cast("int")).otherwise(fold))
+
+
 def time_split(df: DataFrame, ts: str, first_test_year: int) -> DataFrame:
     """``in_test``; rows without a time are in neither part and left out."""
     return df.where(F.col(ts).isNotNull()).withColumn("in_test", F.year(ts) >= first_test_year)

@@ -95,23 +95,65 @@ def labelled_corpus(spam: DataFrame, ham: DataFrame, text: str = "text") -> Data
 
 
 def leakage(published: DataFrame, text: str, raw: DataFrame, values: Sequence[str], least: int = 5) -> DataFrame:
-    """``kind, hits``: pattern hits in published texts, and texts that hold a raw value as words; all must be 0.
+    """``kind, hits``: pattern hits in published texts, and texts that hold a raw value, of any length, as a run of words; all must be 0.
 
-    Raw values are matched by hash join against the word runs of the texts (up to four words), so no text meets every value.
+    Words are split at everything but letters, marks and digits. Values meet texts by a hash join on their first three words (all, if
+    they have fewer), then the whole value is looked up in the text. Values shorter than ``least`` characters don't count.
     """
-    word = lambda c: F.array_compact(F.transform(F.split(F.lower(c), r"\s+"), lambda w: F.nullif(w, F.lit(""))))
+    word = lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
 
     def runs_of(n: int) -> Column:
         starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - (n - 1))).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.array_join(F.slice("w", i, n), " "))
 
-    grams = published.select(text, word(F.col(text)).alias("w")).select(text, F.explode(F.array_distinct(F.flatten(F.array(*map(runs_of, (1, 2, 3, 4)))))).alias("g"))
-    held = raw.select(F.explode(F.array(*[F.array_join(word(F.coalesce(c, F.lit(""))), " ") for c in values])).alias("g")).where(F.char_length("g") >= least).distinct()
-    literal = grams.join(held, "g", "left_semi").select(text).distinct().agg(F.lit("value").alias("kind"), F.count(F.lit(1)).alias("hits"))
+    texts = published.select(F.monotonically_increasing_id().alias("row"), word(F.col(text)).alias("w"))
+    texts = materialize(texts.select("row", "w", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("t")), "gate-texts")
+    held = raw.select(F.explode(F.array(*[word(F.col(c)) for c in values])).alias("v")).where(F.char_length(F.array_join("v", " ")) >= least)
+    held = held.select(F.array_join(F.slice("v", 1, 3), " ").alias("g"), F.concat(F.lit(" "), F.array_join("v", " "), F.lit(" ")).alias("v")).distinct()
+    held = materialize(held, "gate-values")
+    grams = texts.select("row", F.explode(F.array_distinct(F.flatten(F.array(*map(runs_of, (1, 2, 3)))))).alias("g"))
+    met = grams.join(held, "g").select("row", "v").join(texts.select("row", "t"), "row").where(F.contains("t", "v")).select("row").distinct()
+    literal = met.agg(F.lit("value").alias("kind"), F.count(F.lit(1)).alias("hits"))
     patterns = [published.agg(F.lit(k).alias("kind"), F.count_if(F.col(text).rlike(p)).alias("hits")) for k, p in (("email", tx.EMAIL), ("phone", tx.PHONE))]
     return literal.unionByName(patterns[0]).unionByName(patterns[1])
 
 
+#: Features that the model matrix has on a log(1 + x) scale, and the values of its one nominal column.
+LOGGED = "msg_len word_count avg_word_len line_count url_count email_mentions phone_mentions exclam_count name_len name_words email_local_len email_local_digits phone_digits".split()
+SCRIPTS = ("latin", "cyrillic", "other", "none")
+
+
+def model_matrix(rows: DataFrame, keep: Sequence[str] = ("id",)) -> tuple[DataFrame, list[str]]:
+    """(``keep`` and one column a feature, names of the features): text and contact features as doubles, counts logged, script one-hot.
+
+    ``rows`` has ``name, email, phone, message``. No feature comes from the trap or the time.
+    """
+    masked = tx.mask_pii(F.col("message"), F.col("name"))
+    d = rows.withColumn("_m", masked)
+    values = tx.text_features(F.col("_m")) | tx.contact_features(*map(F.col, ("name", "email", "phone", "message")))
+    columns = {k: (F.log1p(v.cast("double")) if k in LOGGED else v.cast("double")) for k, v in values.items()}
+    script = tx.script_of(F.col("_m"))
+    columns |= {f"script_{s}": F.coalesce((script == s).cast("double"), F.lit(0.0)) for s in SCRIPTS}
+    return d.select(*keep, *[v.alias(k) for k, v in columns.items()]), list(columns)
+
+
+def binary_columns(matrix: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``column_name, mean, binary``: whether a feature has no other values than 0 and 1; one pass over all."""
+    one = matrix.agg(*[F.struct(F.lit(c).alias("column_name"), F.avg(c).alias("mean"), (F.count_if(~F.col(c).isin(0.0, 1.0)) == 0).alias("binary")).alias(c) for c in names])
+    return one.select(F.explode(F.array(*names)).alias("r")).select("r.*")
+
+
+def transaction_items(text: dict[str, Column], contact: dict[str, Column], script: Column, filled: Column) -> dict[str, Column]:
+    """The 21 items of a submission by name."""
+    n, urls = text["msg_len"], text["url_count"]
+    return {
+        "url=none": urls == 0, "url=one": urls == 1, "url=2+": urls >= 2, "len=empty": n == 0, "len=short": n.between(1, 50), "len=medium": n.between(51, 300), "len=long": n > 300,
+        "script=latin": script == "latin", "script=cyrillic": script == "cyrillic", "markup=bbcode/html": (text["has_bbcode"] == 1) | (text["has_html"] == 1), "name=joined": contact["name_joined"] == 1,
+        "email=free": contact["email_free"] == 1, "email=ru": contact["email_ru"] == 1, "email=none": contact["has_email"] == 0, "phone=ru_format": contact["phone_ru_format"] == 1, "phone=none": contact["has_phone"] == 0,
+        "topic=money": text["kw_money"] == 1, "topic=seo": text["kw_seo"] == 1, "topic=crypto": text["kw_crypto"] == 1, "honeypot=filled": filled == 1, "honeypot=empty": filled == 0,
+    }
+
+
 def quality_report(df: DataFrame) -> DataFrame:
     """``column_name, nulls, distinct_values`` of every column in one pass."""
     one = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in df.columns], *[F.count_distinct(F.col(c)).alias(f"d_{c}") for c in df.columns])

@@ -6,11 +6,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import Normalizer
-from pyspark.ml.linalg import Vectors
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import materialize
+
 
 def moments(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float, float, float]]:
     """(mean, population deviation, min, max) of each column in one pass."""
@@ -87,25 +89,57 @@ def pca_2x2(a: Column, b: Column) -> dict[str, Column]:
     return {"lambda1": half + root, "lambda2": half - root, "angle": F.atan2(2 * c, va - vb) / 2}
 
 
-def lsa(weights: DataFrame, key: str, k: int = 50) -> DataFrame:
-    """``key, lsa``: long-form weights (``key, term, weight``) reduced to ``k`` singular directions, rows scaled to length 1.
+def lsa(weights: DataFrame, key: str, k: int = 50, more: int = 10, rounds: int = 4) -> DataFrame:
+    """``key, lsa``: long-form weights (``key, term, weight``; a bounded number of terms) reduced to ``k`` singular directions, rows scaled to length 1.
 
-    Signs of directions are arbitrary.
+    Randomised subspace iteration: the terms x (k + more) basis goes out to all tasks, each batch of rows A gives its part of
+    A'(A basis), and the parts are added up by term; rows are projected at the end. The rows stay distributed throughout. Signs of
+    directions are arbitrary; a row without weights has no row.
     """
-    from pyspark.ml.feature import StringIndexer
-    from pyspark.mllib.linalg import Vectors as OldVectors
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
-
-    indexed = StringIndexer(inputCol="term", outputCol="t").fit(weights).transform(weights)
-    size = int(indexed.agg(F.max("t")).first()[0] or 0) + 1
-    rows = indexed.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col("t").cast("int").alias("t"), "weight"))).alias("v"))
-    numbered = rows.select(F.col(key).cast("long").alias("row"), "v")
-    matrix = IndexedRowMatrix(numbered.rdd.map(lambda r: IndexedRow(r["row"], OldVectors.sparse(size, [x["t"] for x in r["v"]], [x["weight"] for x in r["v"]]))))
-    svd = matrix.computeSVD(min(k, size), computeU=True)
-    scale = svd.s.toArray()
-    reduced = svd.U.rows.map(lambda r: (r.index, Vectors.dense(r.vector.toArray() * scale))).toDF([key, "v"])
-    out = Normalizer(inputCol="v", outputCol="lsa").transform(reduced)
-    from pyspark.ml.functions import vector_to_array
-
-    return out.select(key, vector_to_array("lsa").alias("lsa"))
-
+    spark = weights.sparkSession
+    terms = [r["term"] for r in weights.select("term").distinct().orderBy("term").collect()]  # the vocabulary is bounded by the weights' own limit
+    if not terms:
+        return spark.createDataFrame([], f"{key} {weights.schema[key].dataType.simpleString()}, lsa array<double>")
+    place = F.broadcast(spark.createDataFrame(list(zip(terms, range(len(terms)))), "term string, t int"))
+    rows = weights.join(place, "term").groupBy(key).agg(F.collect_list("t").alias("t"), F.collect_list("weight").alias("w"))
+    rows = materialize(rows, "lsa-rows")
+    width = min(k + more, len(terms))
+    basis = np.linalg.qr(np.random.default_rng(42).standard_normal((len(terms), width)))[0]
+
+    def product(batch: pa.RecordBatch, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        sizes = pc.list_value_length(batch.column("t")).to_numpy(zero_copy_only=False)
+        t, w = batch.column("t").flatten().to_numpy(zero_copy_only=False), batch.column("w").flatten().to_numpy(zero_copy_only=False)
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        y = np.zeros((len(sizes), basis.shape[1]))
+        np.add.at(y, of, w[:, None] * basis[t])
+        return y, of, t, w
+
+    for _ in range(rounds):
+        sent = spark.sparkContext.broadcast(basis)
+
+        def gather(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(sent.value.shape)
+            for batch in batches:
+                y, of, t, w = product(batch, sent.value)
+                np.add.at(total, t, w[:, None] * y[of])
+            used = np.flatnonzero(total.any(axis=1))
+            values = pa.ListArray.from_arrays(pa.array(np.arange(len(used) + 1) * total.shape[1], pa.int32()), pa.array(total[used].ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), values], ["t", "z"])
+
+        parts = rows.select("t", "w").mapInArrow(gather, "t int, z array<double>")
+        added = parts.groupBy("t").agg(F.array(*[F.sum(F.get("z", F.lit(c))) for c in range(width)]).alias("z")).collect()
+        moved = np.zeros((len(terms), width))
+        for r in added:
+            moved[r["t"]] = r["z"]
+        basis, _, _ = np.linalg.svd(moved, full_matrices=False)
+    sent = spark.sparkContext.broadcast(basis[:, :k])
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y, _, _, _ = product(batch, sent.value)
+            length = np.linalg.norm(y, axis=1, keepdims=True)
+            y = np.divide(y, length, out=np.zeros_like(y), where=length > 0)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1) * y.shape[1], pa.int32()), pa.array(y.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(key), lists], [key, "lsa"])
+
+    return rows.select(key, "t", "w").mapInArrow(project, f"{key} {rows.schema[key].dataType.simpleString()}, lsa array<double>")

@@ -68,13 +68,13 @@ def verified_rule(spark: SparkSession, d: str) -> DataFrame:
     return v.select(*[F.round(c, 6).alias(c) for c in ("support", "confidence", "lift")])
 
 
-@query(f"""select r.consequent, count(*) n from {_ITEMS} t join (values (['script latin', 'url'], 'len long'), (['form v1'], 'honeypot filled'), (['script cyrillic', 'len medium'], 'honeypot empty')) r(ante, consequent) on list_has_all(t.items, r.ante) group by 1""")
+@query(f"""with {_SETS}, r as (select a.itemset ante, x.support / a.support confidence, list_filter(x.itemset, lambda y: not list_contains(a.itemset, y)) cons from f x join f a on len(a.itemset) = len(x.itemset) - 1 and list_has_all(x.itemset, a.itemset))
+ select list_aggregate(ante, 'string_agg', '; ') antecedent, cons[1] consequent, (select count(*) from {_ITEMS} t where list_has_all(t.items, r.ante)) n from r where confidence >= 0.8 - 1e-12""")
 def mined_rule_match(spark: SparkSession, d: str) -> DataFrame:
-    found = spark.createDataFrame([(["script latin", "url"], ["len long"]), (["form v1"], ["honeypot filled"]), (["script cyrillic", "len medium"], ["honeypot empty"])], "antecedent array<string>, consequent array<string>")
-    m = association.match_rules(transactions(spark, d), "tx", "items", found)
-    return m.groupBy(F.element_at("consequent", 1).alias("consequent")).agg(F.count(F.lit(1)).alias("n"))
-
-
+    """How many rows each mined rule of one consequent fits."""
+    found = association.rules(association.frequent_itemsets(transactions(spark, d), "items", 0.1), 0.8).where(F.size("consequent") == 1)
+    m = association.match_rules(transactions(spark, d), "tx", "items", materialize(found, "rules"))
+    return m.groupBy(F.array_join("antecedent", "; ").alias("antecedent"), F.element_at("consequent", 1).alias("consequent")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def queries_against(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -125,7 +125,14 @@ def _tfidf(name: str, key: str) -> str:
  raw as (select {key}, tf.term, (1 + ln(tf)) * (ln((1.0 + n) / (1.0 + df)) + 1) w from tf join df on tf.term = df.term, n), w as (select {key}, term, w / sqrt(sum(w * w) over (partition by {key})) weight from raw)"""
 
 
-_TFIDF = _tfidf("lang_samples", "sample_id")
+#: One message for each template.
+_DISTINCT = "(select lower(trim(template_id)) k, min(message) as text from formtrap_spam_clean where trim(template_id) <> '' and message is not null group by 1)"
+_TFIDF = _tfidf(_DISTINCT, "k")
+
+
+def distinct_messages(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "formtrap_spam_clean").where("trim(template_id) <> '' and message is not null")
+    return f.groupBy(F.lower(F.trim("template_id")).alias("k")).agg(F.min("message").alias("text"))
 
 
 @query(f"with {_tfidf('documents', 'doc_id')} select doc_id, term, round(weight, 6) weight from w")
@@ -133,30 +140,31 @@ def tfidf_weights(spark: SparkSession, d: str) -> DataFrame:
     return similarity.tfidf(table(spark, d, "documents"), "doc_id", "text", max_terms=None).withColumn("weight", F.round("weight", 6))
 
 
-@query(f"with {_TFIDF} select a.sample_id a, b.sample_id b, round(sum(a.weight * b.weight), 6) as cosine from w a join w b on a.term = b.term and a.sample_id < b.sample_id group by 1, 2 having sum(a.weight * b.weight) >= 0.5")
+@query(f"with {_TFIDF} select a.k a, b.k b, round(sum(a.weight * b.weight), 6) as cosine from w a join w b on a.term = b.term and a.k < b.k group by 1, 2 having sum(a.weight * b.weight) >= 0.5")
 def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
-    w = similarity.tfidf(table(spark, d, "lang_samples"), "sample_id", "text", max_terms=None)
-    return similarity.cosine_pairs(w, "sample_id", 0.5).withColumn("cosine", F.round("cosine", 6))
+    """Pairs of templates whose messages are alike."""
+    w = similarity.tfidf(distinct_messages(spark, d), "k", "text", max_terms=None)
+    return similarity.cosine_pairs(w, "k", 0.5).withColumn("cosine", F.round("cosine", 6))
 
 
-@query(f"with {_TFIDF}, p as (select a.sample_id a, b.sample_id b, sum(a.weight * b.weight) c from w a join w b on a.term = b.term and a.sample_id <> b.sample_id group by 1, 2), m as (select a, max(c) c from p group by 1) select round(count_if(c >= 0.5) / 480.0, 6) at_50, round(count_if(c >= 0.7) / 480.0, 6) at_70, round(count_if(c >= 0.9) / 480.0, 6) at_90 from m")
+@query(f"with {_TFIDF}, p as (select a.k a, b.k b, sum(a.weight * b.weight) c from w a join w b on a.term = b.term and a.k <> b.k group by 1, 2), m as (select a, max(c) c from p group by 1), t as (select count(*) * 1.0 n from {_DISTINCT}) select round(count(*) filter (where c >= 0.5) / max(n), 6) at_50, round(count(*) filter (where c >= 0.7) / max(n), 6) at_70, round(count(*) filter (where c >= 0.9) / max(n), 6) at_90 from m, t")
 def near_duplicate_shares(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "lang_samples")
-    pairs = similarity.cosine_pairs(similarity.tfidf(s, "sample_id", "text", max_terms=None), "sample_id", 0.4)
-    x = similarity.near_duplicate_shares(s, "sample_id", pairs, [0.5, 0.7, 0.9])
-    return x.select(*[F.round(c, 6).alias(c) for c in x.columns])
+    s = distinct_messages(spark, d)
+    pairs = similarity.cosine_pairs(similarity.tfidf(s, "k", "text", max_terms=None), "k", 0.4)
+    best = similarity.best_partner(pairs.withColumns({"a": F.xxhash64("a"), "b": F.xxhash64("b")}))
+    n = s.agg(F.count(F.lit(1)).alias("n"))  # one row
+    one = best.agg(*[F.count_if(F.col("cosine") >= x).alias(f"at_{int(x * 100)}") for x in (0.5, 0.7, 0.9)]).join(n, F.lit(True))
+    return one.select(*[F.round(F.col(c) / F.col("n"), 6).alias(c) for c in ("at_50", "at_70", "at_90")])
 
 
 @query()
 def levenshtein_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs within a language whose lengths allow the ratio; the length test comes before the distance."""
+    """The ratio of every cluster's example to the pattern of each of its signatures."""
     from millrace.functions.text import levenshtein_ratio
 
-    s = table(spark, d, "lang_samples")
-    a, b = s.select(F.col("sample_id").alias("a"), "lang", F.col("text").alias("ta")), s.select(F.col("sample_id").alias("b"), "lang", F.col("text").alias("tb"))
-    la, lb = F.char_length("ta"), F.char_length("tb")
-    j = a.join(b, "lang").where((F.col("a") < F.col("b")) & (F.abs(la - lb) <= 0.25 * F.greatest(la, lb)))
-    return j.select("a", "b", F.round(levenshtein_ratio(F.col("ta"), F.col("tb")), 6).alias("ratio")).where("ratio >= 0.75")
+    c = table(spark, d, "clusters").select("id", "example", F.explode(F.array_distinct("signature_ids")).alias("sid"))
+    j = c.join(table(spark, d, "signatures").select(F.col("id").alias("sid"), "pattern"), "sid")
+    return j.select("id", "sid", F.round(levenshtein_ratio(F.col("example"), F.col("pattern")), 6).alias("ratio"))
 
 
 @query()
@@ -316,12 +324,15 @@ def line_fit(spark: SparkSession, d: str) -> DataFrame:
     return f.select(F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"), F.round("r2", 6).alias("r2"))
 
 
-@query()
+@query("""with m as (select date_trunc('month', timestamp) mo, avg(honeypot_filled) y from formtrap_spam_clean where timestamp is not null group by 1), p as (select date_diff('month', (select min(mo) from m), mo)::double x, y from m where y is not null),
+ s as (select count(*)::double n, sum(x) a, sum(x * x) b, sum(x ** 3) c, sum(x ** 4) e, sum(y) y0, sum(x * y) y1, sum(x * x * y) y2, sum(y * y) yy from p), z as (select *, n * (b * e - c * c) - a * (a * e - b * c) + b * (a * c - b * b) det from s),
+ k as (select *, (y0 * (b * e - c * c) - a * (y1 * e - c * y2) + b * (y1 * c - b * y2)) / det c0, (n * (y1 * e - c * y2) - y0 * (a * e - b * c) + b * (a * y2 - b * y1)) / det c1, (n * (b * y2 - c * y1) - a * (a * y2 - b * y1) + y0 * (a * c - b * b)) / det c2 from z)
+ select round(c0, 6) c0, round(c1, 6) c1, round(c2, 6) c2, round(1 - (select sum((p.y - k.c0 - k.c1 * p.x - k.c2 * p.x * p.x) ** 2) from p) / (yy - y0 * y0 / n), 6) r2 from k""")
 def poly2_fit(spark: SparkSession, d: str) -> DataFrame:
     """A parabola through the monthly rate of filled traps."""
     m = regression.monthly(table(spark, d, "formtrap_spam_clean"), "timestamp", "honeypot_filled")
     c, r2 = regression.polynomial(m, "t", "rate", 2)
-    return spark.createDataFrame([(*map(float, c), r2)], "c0 double, c1 double, c2 double, r2 double")
+    return spark.createDataFrame([tuple(round(float(x), 6) for x in (*c, r2))], "c0 double, c1 double, c2 double, r2 double")
 
 
 @query()
@@ -330,12 +341,6 @@ def pca_full(spark: SparkSession, d: str) -> DataFrame:
     return scores
 
 
-@query()
-def lsa(spark: SparkSession, d: str) -> DataFrame:
-    w = similarity.tfidf(table(spark, d, "lang_samples"), "sample_id", "text", min_df=3, max_df=0.4)
-    return reduction.lsa(w, "sample_id", 10)
-
-
 @query()
 def gmm_bic(spark: SparkSession, d: str) -> DataFrame:
     """BIC of diagonal mixtures of one to three Gaussians on the first components."""
@@ -412,15 +417,23 @@ def roc_curve(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.roc(predicted(spark, d), "y", "s").select("threshold", F.round("tpr", 6).alias("tpr"), F.round("fpr", 6).alias("fpr"))
 
 
-@query("""select model, f1, auc, false_positives from (values ('a', 0.95, 0.99, 2, 1000.0, 1.0), ('b', 0.952, 0.98, 1, 2000.0, 2.0), ('c', 0.99, 0.999, 0, 9000000.0, 1.0), ('e', 0.951, 0.97, 1, 10.0, 0.5)) m(model, f1, auc, false_positives, bytes, ms) where model = 'b'""")
+#: The candidates of the choice: a threshold on message length each, with their size in bytes and latency in milliseconds.
+_CANDIDATES = (("over_100", 100, 1000.0, 1.0), ("over_200", 200, 2000.0, 2.0), ("over_400", 400, 9e6, 1.0), ("over_600", 600, 10.0, 0.5))
+
+
+@query(f"""with c as (select * from (values {', '.join(f"('{m}', {t}, {float(b)}, {l})" for m, t, b, l in _CANDIDATES)}) c(model, t, bytes, ms)), k as (select model, bytes, ms, count(*) filter (where y = 1 and s >= t) tp, count(*) filter (where y = 1 and s < t) fn, count(*) filter (where y = 0 and s >= t) fp from {_PRED}, c group by 1, 2, 3),
+ f as (select *, coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0) f1 from k where bytes < 5e6 and ms < 10) select model, round(f1, 6) f1, fp as false_positives from f where f1 >= (select max(f1) from f) - 0.01 order by fp, model limit 1""")
 def select_model(spark: SparkSession, d: str) -> DataFrame:
-    """Choice under limits of size and latency, over a table of candidates."""
-    m = spark.createDataFrame([("a", 0.95, 0.99, 2, 1000.0, 1.0), ("b", 0.952, 0.98, 1, 2000.0, 2.0), ("c", 0.99, 0.999, 0, 9e6, 1.0), ("e", 0.951, 0.97, 1, 10.0, 0.5)], "model string, f1 double, auc double, false_positives int, bytes double, ms double")
-    return evaluation.select_model(m, 5e6, 10.0).select("model", "f1", "auc", "false_positives")
+    """The choice under limits of size and latency, among thresholds of message length measured on the labelled rows."""
+    t = evaluation.threshold_table(predicted(spark, d), "y", "s", [x for _, x, _, _ in _CANDIDATES]).select("threshold", "f1", F.col("fp").alias("false_positives"))
+    sizes = spark.createDataFrame([(m, float(x), b, ms) for m, x, b, ms in _CANDIDATES], "model string, threshold double, bytes double, ms double")
+    found = evaluation.select_model(t.join(sizes, "threshold").withColumn("auc", F.lit(0.0)), 5e6, 10.0)
+    return found.select("model", F.round("f1", 6).alias("f1"), "false_positives")
 
 
-@query()
+@query("""with f as (select lower(trim(template_id)) c, * from formtrap_spam_clean where template_id is not null), b as (select c, count(distinct template_id) templates, count(*) submissions, round(avg(honeypot_filled), 6) hit_rate, min(year(timestamp))::int first_year, max(year(timestamp))::int last_year from f group by 1),
+ m as (select c, script, row_number() over (partition by c order by count(*) desc, script) r from f where script is not null group by 1, 2) select b.*, m.script from b left join m on b.c = m.c and m.r = 1""")
 def campaign_profiles(spark: SparkSession, d: str) -> DataFrame:
     """Size, hit rate, script and years of each template's campaign."""
     f = table(spark, d, "formtrap_spam_clean").where("template_id is not null")
-    return clustering.profile(f.withColumn("c", F.lower(F.trim("template_id"))), "c", "template_id", "honeypot_filled", "script", "timestamp")
+    return clustering.profile(f.withColumn("c", F.lower(F.trim("template_id"))), "c", "template_id", "honeypot_filled", "script", "timestamp").withColumn("hit_rate", F.round("hit_rate", 6))

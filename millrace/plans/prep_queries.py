@@ -31,15 +31,22 @@ def feature_table(spark: SparkSession, d: str) -> DataFrame:
     return prep.features(prep.clean(raw_export(spark, d)))
 
 
-@query()
+_WINDOW = """t as (select timestamp ts, id, honeypot_filled h, sum(coalesce(honeypot_filled, 0)) over (order by timestamp, id, honeypot_filled nulls first rows unbounded preceding) run from formtrap_spam_clean where timestamp is not null),
+ r as (select run, count(*) n, min(ts) lo, max(ts) hi from t where coalesce(h, 0) = 0 group by 1), o as (select *, row_number() over (order by n desc, lo) k from r)"""
+
+
+@query(f"with {_WINDOW} select lo as start_at, hi as end_at, n as rows, (select n from o where k = 2) next_rows, ((epoch_us(hi) - epoch_us(lo)) // 86400000000)::int as days from o where k = 1")
 def unrecorded_window(spark: SparkSession, d: str) -> DataFrame:
     return prep.unrecorded_window(table(spark, d, "formtrap_spam_clean"))
 
 
-@query()
+@query(f"""with {_WINDOW}, w as (select lo, hi from o where k = 1), e as (select case when ts between lo and hi then 'inside' when ts < lo and ts >= lo - interval 90 days then 'before' when ts > hi and ts <= hi + interval 90 days then 'after' end part, h from t, w),
+ g as (select part, count(*) n, coalesce(sum(h), 0)::bigint hits, avg(h) rate from e where part is not null group by 1)
+ select part, n as rows, hits, round(rate, 6) rate, case when part = 'inside' then round(pow(1 - (select rate from g where part = 'before'), n), 9) end no_hit from g""")
 def label_evidence(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "formtrap_spam_clean")
-    return prep.label_evidence(f, prep.unrecorded_window(f))
+    e = prep.label_evidence(f, prep.unrecorded_window(f))
+    return e.withColumn("rate", F.round("rate", 6)).withColumn("no_hit", F.round("no_hit", 9))
 
 
 @query()
