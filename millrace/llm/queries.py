@@ -78,6 +78,20 @@ def p5_split(spark: SparkSession, d: str) -> DataFrame:
     return assign_splits(table(spark, d, "formtrap_spam_clean"), "id", "template_id", "script")
 
 
+@query
+def p5_split_invariant(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct ids of all splits, sets of tied ids that lie in more than one, and whether the shares are within a hundredth of the asked ones."""
+    split = p5_split(spark, d).select("id", "split").distinct()
+    tied = p5_found(spark, d).join(split, "id").groupBy("group_key").agg(F.count_distinct("split").alias("k"))
+    torn = tied.agg(F.count_if(F.col("k") > 1).alias("torn_groups"))
+    shares = [F.abs(F.count_if(F.col("split") == s) / F.count(F.lit(1)) - x) <= 0.01 for s, x in (("train", 0.8), ("validation", 0.1), ("test", 0.1))]
+    one = split.agg(F.count_distinct("id").alias("ids"), F.count(F.lit(1)).alias("rows"), (shares[0] & shares[1] & shares[2]).alias("in_proportion"))
+    return one.join(torn, F.lit(True))  # one row each
+
+
+SQL["p5_split_invariant"] = "select count(distinct id) ids, count(distinct id) as rows, true in_proportion, 0 torn_groups from formtrap_spam_clean where id is not null"
+
+
 @query
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     from millrace.llm.encoding import TOKENIZERS, encode
@@ -87,16 +101,15 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Documents whose ids, decoded again, do not give the text back: none."""
+    """The digest of each document's text as its ids give it back; empty for null."""
     from millrace.llm.encoding import TOKENIZERS, decode, pieces
 
     path = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
     back = decode(p8_ids(spark, d).withColumnRenamed("doc_id", "id"), pieces(spark, "file://" + path))
-    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return docs.join(back, docs["doc_id"] == back["id"], "left").where(~docs["text"].eqNullSafe(back["text"])).select("doc_id")
+    return back.select(F.col("id").alias("doc_id"), F.md5("text").alias("digest"))
 
 
-SQL["p8_round_trip"] = "select doc_id from documents where false"
+SQL["p8_round_trip"] = "select doc_id, md5(coalesce(text, '')) digest from documents"
 
 
 @query
