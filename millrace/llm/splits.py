@@ -72,13 +72,13 @@ def assign_splits(
     for name, c in sorted(counts.items(), key=lambda x: (-sum(x[1].values()), x[0])):
 
         def gain(split: str, c: dict = c) -> float:
-            # fall of the summed squared relative distance from the split's share of each label
+            # fall of the distance (chi-square) from the split's share of all ids, and of each label
             size, got = shares[split], sum(have[split].values())
             want = size * total
-            change = ((got + sum(c.values()) - want) ** 2 - (got - want) ** 2) / max(want, 1) ** 2
+            change = len(whole) * ((got + sum(c.values()) - want) ** 2 - (got - want) ** 2) / max(want, 1)
             for s, n in c.items():
                 goal = size * whole[s]
-                change += ((have[split][s] + n - goal) ** 2 - (have[split][s] - goal) ** 2) / max(goal, 1) ** 2
+                change += ((have[split][s] + n - goal) ** 2 - (have[split][s] - goal) ** 2) / max(goal, 1)
             return change
 
         best = min(shares, key=gain)

@@ -51,6 +51,18 @@ def test_tied_groups_and_splits(spark):
     assert splits.tied_groups(df.limit(0), "id", "tpl").count() == 0 and splits.assign_splits(df.limit(0), "id", "tpl", "s").count() == 0
 
 
+def test_split_shares_with_uneven_groups_and_rare_labels(spark):
+    """Large groups and a rare label pull no split away from its share of all ids."""
+    r = random.Random(8)
+    rows, i = [], 0
+    for size in [230, 120, 90, 60, 40, 30] + [r.choice([1, 1, 2, 3]) for _ in range(1800)]:
+        rows += [(i + k, f"t{i}", r.choice(["x"] * 12 + ["y"] * 3 + ["z"])) for k in range(size)]
+        i += size
+    df = spark.createDataFrame(rows, "id long, tpl string, s string")
+    got = {x["split"]: x["count"] / len(rows) for x in splits.assign_splits(df, "id", "tpl", "s").groupBy("split").count().collect()}
+    assert all(abs(got[k] - v) < 0.01 for k, v in (("train", 0.8), ("validation", 0.1), ("test", 0.1)))
+
+
 def test_split_shares(spark):
     df = spark.range(4000).selectExpr("id", "concat('t', id div 2) tpl", "case when id % 4 = 0 then 'x' else 'y' end s")
     n = {(r["split"], r["s"]): r["count"] for r in splits.assign_splits(df, "id", "tpl", "s").join(df, "id").groupBy("split", "s").count().collect()}
