@@ -169,9 +169,9 @@ def levenshtein_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def greedy_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Signatures joined to earlier leaders of the same first words and length band."""
-    s = table(spark, d, "signatures").withColumn("block", F.concat(F.left(F.lower("pattern"), F.lit(12)), F.lit(" "), F.floor(F.char_length("pattern") / 200).cast("string")))
-    return similarity.greedy_clusters(s, "id", "pattern", "occurrence", "block").groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
+    """Signatures joined to earlier leaders, all against all."""
+    found = similarity.greedy_clusters(table(spark, d, "signatures"), "id", "pattern", "occurrence")
+    return found.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
 
 
 _ATTR = "(select script, form_version, source_block, has_message::varchar has_message, honeypot_filled y from formtrap_spam_clean where honeypot_filled is not null)"

@@ -194,8 +194,8 @@ def test_similarity(spark):
     pairs = {(p["a"], p["b"]): p["cosine"] for p in similarity.cosine_pairs(w, "id", 0.2).collect()}
     assert pairs[1, 2] == pytest.approx(1) and 0.2 <= pairs[1, 3] < 1
     assert similarity.best_partner(similarity.cosine_pairs(w, "id", 0.2)).where("key = 1").first()["partner"] == 2
-    g = similarity.greedy_clusters(spark.createDataFrame([(1, "hello world", 9, "h"), (2, "hello worlds", 3, "h"), (3, "zzz", 1, "h")], "id long, t string, n int, b string"), "id", "t", "n", "b")
-    assert {r["id"]: r["cluster"] for r in g.collect()} == {1: 1, 2: 1, 3: 3}
+    g = similarity.greedy_clusters(spark.createDataFrame([(1, "hello world", 9), (2, "hello worlds", 3), (3, "zzz", 1), (4, None, 0), (5, "zzz!", 0), (6, "hello wor", 9)], "id long, t string, n int"), "id", "t", "n", batch=2)
+    assert {r["id"]: r["cluster"] for r in g.collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 3, 6: 1}
 
 
 def test_rules(spark):
