@@ -115,7 +115,7 @@ def catalogue() -> list[Rule]:
         Rule(11, "email_format_invalid", 5, "low", "email_validation"),
         Rule(12, "repetitive_character_spam", 15, "medium", "pattern_match", {"field": "any", "patterns": [r"(.)\1{10,}"]}),
         Rule(13, "no_referrer", 8, "low", "header_check", {"header": "referer"}),
-        Rule(14, "ip_rate_limit", 35, "high", "rate_limit", {"threshold": 5}),
+        Rule(14, "ip_rate_limit", 35, "high", "rate_limit", {"threshold": 5, "window_minutes": 10}),
         Rule(15, "ml_spam_score", 60, "high", "model_score", {"threshold": 0.5}),
     ]
 

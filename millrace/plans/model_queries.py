@@ -45,7 +45,20 @@ def model_matrix(spark: SparkSession, d: str) -> DataFrame:
     return prep.binary_columns(m, names)
 
 
-_MSG = "trim(coalesce(raw_payload.message, ''), ' ' || chr(9) || chr(10) || chr(13))"
+_STRIP = r"regexp_replace(coalesce({0}, ''), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+_FREE, _RU = (", ".join(f"'{x}'" for x in names) for names in (tx.FREE_MAIL, tx.RU_MAIL))
+_ITEM_SQL = {
+    "url=none": "u = 0", "url=one": "u = 1", "url=2+": "u >= 2", "len=empty": "n = 0", "len=short": "n between 1 and 50", "len=medium": "n between 51 and 300", "len=long": "n > 300",
+    "script=latin": "2 * cyr <= letters and 2 * lat > letters", "script=cyrillic": "2 * cyr > letters", "markup=bbcode/html": r"(regexp_matches(lower(core), '\[/?url') or regexp_matches(lower(core), '<a\s|href=|</\w+>'))",
+    "name=joined": r"regexp_full_match(nm, '[A-Z][a-z]+[A-Z][\p{L}\p{M}\p{Nd}\p{Pc}]*')", "email=free": f"host in ({_FREE})", "email=ru": f"(host in ({_RU}) or suffix(host, '.ru'))", "email=none": "em = ''",
+    "phone=ru_format": "regexp_full_match(digits, '[78][0-9]{10}')", "phone=none": "ph = ''", "topic=money": f"regexp_matches(core, '(?i){tx.KEYWORDS['kw_money']}')",
+    "topic=seo": f"regexp_matches(core, '(?i){tx.KEYWORDS['kw_seo']}')", "topic=crypto": f"regexp_matches(core, '(?i){tx.KEYWORDS['kw_crypto']}')", "honeypot=filled": "y = 1", "honeypot=empty": "y = 0",
+}
+_ITEMS_SQL = rf"""with a as (select {_STRIP.format('raw_payload.message')} t, {_STRIP.format('raw_payload.name')} nm, {_STRIP.format('raw_payload.email')} em, {_STRIP.format('raw_payload.phone')} ph,
+ (coalesce(raw_payload.website_url, '') not in ('', '0') or coalesce(raw_payload.company_code, '') not in ('', '0'))::int y from submissions where raw_payload is not null),
+ b as (select *, regexp_replace(t, '{tx.MASKS}', ' ', 'g') core, length(t) n, regexp_extract(lower(em), '([^@]*)$', 1) host, regexp_replace(ph, '[^0-9]', '', 'g') digits, len(regexp_extract_all(t, '{tx.URL.replace(chr(39), chr(39) * 2)}')) u from a),
+ x as (select *, length(regexp_replace(core, '[^\p{{L}}]', '', 'g')) letters, length(regexp_replace(regexp_replace(core, '[^\p{{L}}]', '', 'g'), '[^\x{{400}}-\x{{4FF}}]', '', 'g')) cyr, length(regexp_replace(core, '[^A-Za-z]', '', 'g')) lat from b),
+ r as ({' union all '.join(f"select '{k}' item, count(*) filter (where {v}) n from x" for k, v in _ITEM_SQL.items())}) select item, n from r where n > 0"""
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
@@ -54,7 +67,7 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
     return c.select("id", "name", "message", association.items_of(items).alias("items"))
 
 
-@query()
+@query(_ITEMS_SQL)
 def transaction_item_counts(spark: SparkSession, d: str) -> DataFrame:
     """How many submissions have each of the 21 items."""
     return _items(spark, d).select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))

@@ -24,4 +24,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from millrace.plans import ingest_queries, mining_queries, model_queries, olap_queries, prep_queries, relational_queries, rule_queries, skew_queries, text_queries  # noqa: E402, F401
+from millrace.plans import ingest_queries, mining_queries, model_queries, olap_queries, prediction_queries, prep_queries, relational_queries, rule_queries, skew_queries, text_queries  # noqa: E402, F401

@@ -44,7 +44,8 @@ def scored_submissions(spark: SparkSession, d: str) -> DataFrame:
     """All submissions under the default rules, but for the one that needs a model."""
     s = table(spark, d, "submissions")
     s = rules.with_signature(s, table(spark, d, "signatures"), table(spark, d, "clusters"))
-    known = rules.recent_count(s.where("ip is not null"), "ip", "created_at")
+    rate = next(r for r in rules.catalogue() if r.kind == "rate_limit")
+    known = rules.recent_count(s.where("ip is not null"), "ip", "created_at", rate.params["window_minutes"])
     s = known.unionByName(s.where("ip is null").withColumn("recent", F.lit(None).cast("long")))
     return rules.score(s, [r for r in rules.catalogue() if r.kind != "model_score"])
 

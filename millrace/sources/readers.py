@@ -25,9 +25,9 @@ def read_json(spark: SparkSession, path: str, schema: str | StructType | None =
 
 
 def read_history(df: DataFrame, time: str, message: str, limit: int | None = None) -> DataFrame:
-    """Rows with a time and a message that is not blank; the first ``limit`` of them."""
+    """Rows with a time and a message that is not blank; the ``limit`` earliest of them (ties by message)."""
     rows = df.where(F.col(time).isNotNull() & (F.trim(F.coalesce(message, F.lit(""))) != ""))
-    return rows.limit(limit) if limit else rows
+    return rows.orderBy(time, message).limit(limit) if limit else rows
 
 
 def resolve_aliases(df: DataFrame, aliases: Mapping[str, Sequence[str]]) -> DataFrame:
