@@ -120,6 +120,14 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
 
 
+_REDUCED = r"regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}]+', '', 'g')"
+_RUNS = "unnest(list_transform(range(1, greatest(length(t) - {0} + 2, 1)), lambda k: substr(t, k, {0})))"
+SQL["p9_found"] = f"""
+with i as (select item_id, case when lower(lang) like 'zh%' then 20 else 50 end n, {_REDUCED} t from eval_items where text is not null), g as (select item_id, n, {_RUNS.format('n')} g from i),
+d as (select doc_id, {_REDUCED} t from documents where text is not null), r as (select doc_id, 50 n, {_RUNS.format(50)} g from d union all select doc_id, 20, {_RUNS.format(20)} from d)
+select distinct r.doc_id, g.item_id from r join g on r.n = g.n and r.g = g.g"""
+
+
 @query
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     from millrace.llm.lookalikes import look_alikes
