@@ -49,14 +49,29 @@ def assoc_rules(spark: SparkSession, d: str) -> DataFrame:
     return r.select(F.array_join("antecedent", "; ").alias("antecedent"), F.array_join("consequent", "; ").alias("consequent"), *[F.round(c, 6).alias(c) for c in ("support", "confidence", "lift")])
 
 
-@query()
+#: No set has more than five items: the groups of items that shut each other out are five.
+_LOW = _SETS.replace("c >= 0.1 *", "c >= 0.05 *")
+_SPLITS = "r as (select a.itemset ante, x.support, x.support / a.support confidence, list_filter(x.itemset, lambda y: not list_contains(a.itemset, y)) cons from f x join f a on len(a.itemset) < len(x.itemset) and list_has_all(x.itemset, a.itemset))"
+
+
+def _kept(level: int) -> str:
+    """Rules of ``level`` antecedent items that no kept shorter rule makes redundant."""
+    before = " union all ".join(f"select ante, confidence from k{k}" for k in range(1, level))
+    test = f" and not exists (select 1 from ({before}) b where list_has_all(r.ante, b.ante) and b.confidence >= r.confidence - 0.02)" if before else ""
+    return f"k{level} as (select r.* from t r where len(r.ante) = {level}{test})"
+
+
+@query(f"""with {_LOW}, {_SPLITS}, t as (select r.ante, r.support, r.confidence, r.confidence / c.support lift from r join f c on c.itemset = r.cons where r.cons = ['honeypot filled'] and r.confidence >= 0.5 - 1e-12 and not list_has_any(r.ante, ['honeypot empty', 'honeypot filled'])),
+ {', '.join(map(_kept, (1, 2, 3, 4)))} select list_aggregate(ante, 'string_agg', '; ') antecedent, 'honeypot filled' consequent, round(support, 6) support, round(confidence, 6) confidence, round(lift, 6) lift
+ from (select * from k1 union all select * from k2 union all select * from k3 union all select * from k4) order by round(lift, 9) desc, support desc, list_aggregate(ante, 'string_agg', ',') limit 6""")
 def assoc_rules_pruned(spark: SparkSession, d: str) -> DataFrame:
     r = association.rules(association.frequent_itemsets(transactions(spark, d), "items", 0.05), 0.5)
     p = association.target_rules(r, "honeypot filled", ["honeypot empty", "honeypot filled"])
-    return p.select(F.array_join("antecedent", "; ").alias("antecedent"), F.array_join("consequent", "; ").alias("consequent"), "support", "confidence", "lift")
+    return p.select(F.array_join("antecedent", "; ").alias("antecedent"), F.array_join("consequent", "; ").alias("consequent"), *[F.round(c, 6).alias(c) for c in ("support", "confidence", "lift")])
 
 
-@query()
+@query(f"""with {_LOW}, {_SPLITS}, g as (select s.s, c.c from (values (0.05), (0.1), (0.2), (0.3)) s(s), (values (0.6), (0.8), (0.9)) c(c))
+ select cast(g.s as double) min_support, cast(g.c as double) min_confidence, (select count(*) from r where support >= g.s - 1e-12 and confidence >= g.c - 1e-12) rules, (select count(*) from f where support >= g.s - 1e-12) itemsets from g""")
 def assoc_sensitivity(spark: SparkSession, d: str) -> DataFrame:
     return association.sensitivity(association.frequent_itemsets(transactions(spark, d), "items", 0.05), [0.05, 0.1, 0.2, 0.3], [0.6, 0.8, 0.9])
 

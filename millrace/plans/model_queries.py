@@ -248,7 +248,10 @@ def leakage_gate(spark: SparkSession, d: str) -> DataFrame:
     return prep.leakage(raw.select(tx.mask_pii(F.col("message"), F.col("name")).alias("t")), "t", raw, ["email", "phone"])
 
 
-@query()
+@query("""with x as (select doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}\\x{200c}\\x{200d}]{2,}')) term, (doc_kind = 'spam')::int y from documents),
+ c as (select term, count(*) filter (where y = 1) a, count(*) filter (where y = 0) b from x where y is not null group by 1), s as (select sum(a) ta, sum(b) tb, count(*) v from c), w as (select term, ln((a + 1.0) / (ta + v)) - ln((b + 1.0) / (tb + v)) w from c, s where a + b >= 30),
+ m as (select doc_id, x.term, count(*) * any_value(w.w) contribution from x join w using (term) where doc_id % 100 = 0 group by 1, 2), r as (select *, row_number() over (partition by doc_id order by round(contribution, 9) desc, term) k from m where contribution > 0)
+ select doc_id, term, round(contribution, 6) contribution from r where k <= 5""")
 def explained_terms(spark: SparkSession, d: str) -> DataFrame:
     """The five terms that speak most for spam, of each document of the query set (ids divisible by 100)."""
     from millrace.plans.mining_queries import _nb

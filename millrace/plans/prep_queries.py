@@ -20,9 +20,19 @@ def raw_export(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query()
+_CELL = r"nullif(regexp_replace({0}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g'), '')"
+_CELLS = ", ".join(f"{_CELL.format(f'raw_payload.{c}')} {a}" for c, a in (("name", "name"), ("email", "email"), ("phone", "phone"), ("subject", "subject"), ("message", "body"), ("website_url", "trap")))
+
+
+@query(f"""with c as (select id src_row, created_at ts, {_CELLS} from submissions), m as (select *, case when subject is null and body is null then null else concat_ws(chr(10), subject, body) end message from c),
+ k as (select *, row_number() over (partition by ts, name, email, phone, message, trap order by src_row) r from m where coalesce(name, email, phone, message) is not null)
+ select row_number() over (order by src_row) id, epoch_us(ts) us, case when ts is null then 'B_legacy' else 'A_timestamped' end source_block, case when ts is null then 'legacy_export' else 'v2_full_name' end form_version, md5(coalesce(name, '')) name, md5(coalesce(email, '')) email, md5(coalesce(phone, '')) phone,
+ md5(coalesce(message, '')) message, case when ts is not null then (trap is not null)::int end honeypot_filled from k where r = 1""")
 def clean_submissions(spark: SparkSession, d: str) -> DataFrame:
-    return prep.clean(raw_export(spark, d))
+    """Every cleaned row, its texts as digests."""
+    c = prep.clean(raw_export(spark, d))
+    digests = [F.md5(F.coalesce(x, F.lit(""))).alias(x) for x in ("name", "email", "phone", "message")]
+    return c.select("id", F.unix_micros("timestamp").alias("us"), "source_block", "form_version", *digests, "honeypot_filled")
 
 
 @query()
