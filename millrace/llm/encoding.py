@@ -21,7 +21,7 @@ TOKENIZERS = "/opt/tokenizers"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
 #: A word that makes up at least one FREQUENT-th of all words is looked up in a broadcast table of at most 2 * FREQUENT words,
 #: whatever the corpus; so no other word is a hot key.
-FREQUENT = 50_000
+FREQUENT = 200_000
 
 
 @lru_cache(maxsize=4)
