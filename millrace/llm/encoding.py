@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -12,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from millrace.session import materialize, release
 
@@ -22,6 +24,8 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p
 #: A word that makes up at least one FREQUENT-th of all words is looked up in a broadcast table of at most 2 * FREQUENT words,
 #: whatever the corpus; so no other word is a hot key.
 FREQUENT = 200_000
+#: Words of a chunk of texts, whose rare words are asked for together; a longer text is a chunk of its own.
+CHUNK = 1_000_000
 
 
 @lru_cache(maxsize=4)
@@ -86,9 +90,9 @@ def encode(df: DataFrame, id_col: str, text_col: str, path: str, frequent: int =
     """``id, ids`` for each row: the token ids of the text, without special tokens; an empty list for null and empty texts.
 
     Texts are split into words by the tokenizer's own pattern in Spark. Words with a share of one ``frequent``-th, most of any
-    corpus, are looked up in a broadcast table of bounded size, inside the rows of their texts. The occurrences of all other words
-    are brought together by word; each partition is a table of its distinct words, each encoded once, from which ids go
-    back to their text by position. No text is cut; repeated ids give a row each, a null id too.
+    corpus, are looked up in a broadcast table of bounded size, where their texts lie. Of all others, each chunk of texts asks for
+    every distinct word once, with its places. The words asked for are brought together by word; each partition is a table of its
+    distinct words, each encoded once, from which ids go back to their chunk and are put in by place. No text is cut; repeated ids give a row each, a null id too.
     """
     words = F.regexp_extract_all(F.coalesce(text_col, F.lit("")), F.lit(WORDS), F.lit(0)).alias("words")
     texts = df.select(F.col(id_col).alias("id"), words)
@@ -97,34 +101,49 @@ def encode(df: DataFrame, id_col: str, text_col: str, path: str, frequent: int =
     kind = _packed(path)
     hole = np.iinfo(kind).max
     id_type = texts.schema["id"].dataType.simpleString()
+    columns = ["chunk", "w", "places", "ids", "packed", "sizes"]
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # frequent words become their ids, each rare word a hole; the rare words go along in order
+        # a chunk of texts becomes one row of ids, with a hole for each rare word, and one row for each distinct rare word
         table_words, table_ids = known.value
         place = dict(zip(table_words, range(len(table_words))))
         flat = np.frombuffer(b"".join(table_ids) + hole.to_bytes(kind.itemsize, "little"), kind)
-        sizes = np.array([len(b) // kind.itemsize for b in table_ids] + [1], np.int64)
-        begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        lengths = np.array([len(b) // kind.itemsize for b in table_ids] + [1], np.int64)
+        begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         last = len(table_words)
         for batch in batches:
-            lists = batch.column("words")
-            coded = lists.flatten().dictionary_encode()
-            entry = np.fromiter((place.get(w, last) for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
-            at = entry[coded.indices.to_numpy()]
-            counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            counts = pc.list_value_length(batch.column("words")).to_numpy(zero_copy_only=False)
             ends = np.cumsum(counts)
-            n = sizes[at]
-            total = np.concatenate([[0], np.cumsum(n)])
-            ids = flat[np.repeat(begins[at] - total[:-1], n) + np.arange(total[-1])]
-            cut = total[np.concatenate([[0], ends])]
-            packed = [ids[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
-            rare = at == last
-            offsets = np.concatenate([[0], np.cumsum(rare)])[np.concatenate([[0], ends])]
-            holes = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), lists.flatten().filter(pa.array(rare)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(packed, pa.binary()), holes], ["id", "row", "packed", "rare"])
-
-    half = texts.withColumn("row", F.monotonically_increasing_id()).select("id", "row", "words").mapInArrow(look_up, f"id {id_type}, row long, packed binary, rare array<string>")
-    half = materialize(half, "half-encoded")
+            cut = np.unique(np.searchsorted(ends, np.arange(CHUNK, int(ends[-1]) if len(ends) else 0, CHUNK)) + 1).tolist()
+            for lo, hi in zip([0, *cut], [*cut, len(counts)]):
+                if lo >= hi:
+                    continue
+                lists = batch.column("words").slice(lo, hi - lo)
+                coded = lists.flatten().dictionary_encode()
+                entry = np.fromiter((place.get(w, last) for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+                word = coded.indices.to_numpy()
+                at = entry[word]
+                n = lengths[at]
+                total = np.concatenate([[0], np.cumsum(n)])
+                ids = flat[np.repeat(begins[at] - total[:-1], n) + np.arange(total[-1])]
+                sizes = np.diff(total[np.concatenate([[0], np.cumsum(counts[lo:hi])])]).astype(np.int32)
+                # the places of each rare word, as numbers of holes
+                rare = word[at == last]
+                order = np.argsort(rare, kind="stable")
+                distinct, first = np.unique(rare[order], return_index=True)
+                places = [x.tobytes() for x in np.split(order.astype(np.uint32), first[1:])] if len(distinct) else []
+                chunk, asked = batch.column("row")[lo].as_py(), len(distinct)
+                none = [None] * asked
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([chunk] * (asked + 1), pa.int64()), pa.concat_arrays([pa.nulls(1, pa.string()), coded.dictionary.take(pa.array(distinct)).cast(pa.string())]), pa.array([None, *places], pa.binary()),
+                        pa.array([batch.column("id").slice(lo, hi - lo).to_pylist(), *none], pa.list_(batch.column("id").type)), pa.array([ids.tobytes(), *none], pa.binary()), pa.array([sizes.tobytes(), *none], pa.binary()),
+                    ],
+                    columns,
+                )
+
+    half = texts.withColumn("row", F.monotonically_increasing_id()).select("id", "row", "words")
+    half = materialize(half.mapInArrow(look_up, f"chunk long, w string, places binary, ids array<{id_type}>, packed binary, sizes binary"), "half-encoded")
 
     def encode_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # words come sorted, so a word is met in one run; the last one of a batch is kept for the next
@@ -136,32 +155,50 @@ def encode(df: DataFrame, id_col: str, text_col: str, path: str, frequent: int =
             table = kept | dict(zip(new, _encode_all(new, path)))
             ids = pa.array([table[w] for w in distinct], pa.binary()).take(coded.indices)
             kept = {w: table[w] for w in [batch.column("w")[-1].as_py()]} if len(coded) else kept
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("pos"), ids], ["row", "pos", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("places"), ids], ["chunk", "places", "packed"])
 
-    holes = half.select("row", F.posexplode("rare").alias("pos", "w")).repartition("w").sortWithinPartitions("w").select("row", "pos", "w")
-    filled = holes.mapInArrow(encode_rare, "row long, pos int, packed binary")
-    parts = half.select("row", "id", F.lit(-1).alias("pos"), "packed").unionByName(filled, allowMissingColumns=True)
-    whole = parts.groupBy("row").agg(F.max("id").alias("id"), F.sort_array(F.collect_list(F.struct("pos", "packed"))).alias("parts"))
+    asked = half.where("w is not null").select("chunk", "w", "places").repartition("w").sortWithinPartitions("w")
+    told = asked.mapInArrow(encode_rare, "chunk long, places binary, packed binary")
+    parts = half.where("w is null").select("chunk", "ids", "sizes", "packed").unionByName(told, allowMissingColumns=True)
 
     def fill_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out, sizes = [], []
-            for parts in batch.column("packed").to_pylist():
-                ids = np.frombuffer(parts[0], kind)
-                if len(parts) > 1:
-                    at = np.flatnonzero(ids == hole)
-                    pieces_, last = [], 0
-                    for k, fill in zip(at.tolist(), parts[1:]):
-                        pieces_ += [parts[0][last * kind.itemsize : k * kind.itemsize], fill]
-                        last = k + 1
-                    ids = np.frombuffer(b"".join([*pieces_, parts[0][last * kind.itemsize :]]), kind)
-                out.append(ids)
-                sizes.append(len(ids))
-            flat = np.concatenate(out).astype(np.int32) if out else np.empty(0, np.int32)
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["id", "ids"])
-
-    return whole.select("id", F.col("parts.packed").alias("packed")).mapInArrow(fill_in, f"id {id_type}, ids array<int>")
+        # the rows of a chunk come together, its ids with holes first
+        rows: list[tuple] = []
+        for batch in chain(batches, [None]):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("chunk", "ids", "sizes", "packed", "places"))) if batch is not None else [None]:
+                if rows and (row is None or row[0] != rows[0][0]):
+                    yield _filled(rows, kind, id_arrow)
+                    rows = []
+                if row is not None:
+                    rows.append(row)
+
+    id_arrow = to_arrow_type(texts.schema["id"].dataType)
+    together = parts.repartition("chunk").sortWithinPartitions("chunk", F.col("places").isNotNull())
+    return together.select("chunk", "ids", "sizes", "packed", "places").mapInArrow(fill_in, f"id {id_type}, ids array<int>")
+
+
+def _filled(rows: list[tuple], kind: np.dtype, id_type: pa.DataType) -> pa.RecordBatch:
+    """The texts of a chunk: (chunk, ids, sizes, packed, places) of the chunk itself, then of the answers for its rare words."""
+    _, doc_ids, sizes, packed, _ = rows[0]
+    ids, sizes = np.frombuffer(packed, kind), np.frombuffer(sizes, np.int32).astype(np.int64)
+    at = np.flatnonzero(ids == np.iinfo(kind).max)
+    length = np.ones(len(ids), np.int64)
+    start = np.zeros(len(ids), np.int64)
+    pool = b"".join(r[3] for r in rows[1:])
+    if len(at):
+        n = np.array([len(r[3]) // kind.itemsize for r in rows[1:]], np.int64)
+        many = np.array([len(r[4]) // 4 for r in rows[1:]], np.int64)
+        place = at[np.frombuffer(b"".join(r[4] for r in rows[1:]), np.uint32)]
+        length[place] = np.repeat(n, many)
+        start[place] = np.repeat(np.cumsum(n) - n, many)
+    # own ids lie before the answers in one array
+    source = np.concatenate([ids, np.frombuffer(pool, kind)])
+    begin = np.arange(len(ids))
+    begin[at] = len(ids) + start[at]
+    upto = np.concatenate([[0], np.cumsum(length)])
+    flat = source[np.repeat(begin - upto[:-1], length) + np.arange(upto[-1])].astype(np.int32)
+    offsets = upto[np.concatenate([[0], np.cumsum(sizes)])].astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(doc_ids, id_type), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["id", "ids"])
 
 
 def decode(encoded: DataFrame, vocabulary: DataFrame) -> DataFrame:

@@ -23,6 +23,14 @@ def test_ids_equal_the_library(spark):
     assert encoding.encode(df.limit(0), "id", "text", PATH).count() == 0
 
 
+def test_chunks_give_the_same_ids(spark, monkeypatch):
+    df = spark.createDataFrame([(f"k{i}", t) for i, t in enumerate(TEXTS * 3)], "id string, text string")
+    whole = {r["id"]: r["ids"] for r in encoding.encode(df, "id", "text", PATH, frequent=3).collect()}
+    monkeypatch.setattr(encoding, "CHUNK", 7)
+    assert {r["id"]: r["ids"] for r in encoding.encode(df, "id", "text", PATH, frequent=3).collect()} == whole and len(whole) == 3 * len(TEXTS)
+    assert {r["id"]: r["ids"] for r in encoding.encode(df, "id", "text", PATH, frequent=1).collect()} == whole
+
+
 def test_round_trip(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "id long, text string")
     back = encoding.decode(encoding.encode(df, "id", "text", PATH), encoding.pieces(spark, f"file://{PATH}"))
