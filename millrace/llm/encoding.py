@@ -13,7 +13,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from millrace.session import materialize, release
 
@@ -137,13 +136,13 @@ def encode(df: DataFrame, id_col: str, text_col: str, path: str, frequent: int =
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([chunk] * (asked + 1), pa.int64()), pa.concat_arrays([pa.nulls(1, pa.string()), coded.dictionary.take(pa.array(distinct)).cast(pa.string())]), pa.array([None, *places], pa.binary()),
-                        pa.array([batch.column("id").slice(lo, hi - lo).to_pylist(), *none], pa.list_(batch.column("id").type)), pa.array([ids.tobytes(), *none], pa.binary()), pa.array([sizes.tobytes(), *none], pa.binary()),
+                        pa.array([_to_bytes(batch.column("id").slice(lo, hi - lo)), *none], pa.binary()), pa.array([ids.tobytes(), *none], pa.binary()), pa.array([sizes.tobytes(), *none], pa.binary()),
                     ],
                     columns,
                 )
 
     half = texts.withColumn("row", F.monotonically_increasing_id()).select("id", "row", "words")
-    half = materialize(half.mapInArrow(look_up, f"chunk long, w string, places binary, ids array<{id_type}>, packed binary, sizes binary"), "half-encoded")
+    half = materialize(half.mapInArrow(look_up, "chunk long, w string, places binary, ids binary, packed binary, sizes binary"), "half-encoded")
 
     def encode_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # words come sorted, so a word is met in one run; the last one of a batch is kept for the next
@@ -167,17 +166,27 @@ def encode(df: DataFrame, id_col: str, text_col: str, path: str, frequent: int =
         for batch in chain(batches, [None]):
             for row in zip(*(batch.column(c).to_pylist() for c in ("chunk", "ids", "sizes", "packed", "places"))) if batch is not None else [None]:
                 if rows and (row is None or row[0] != rows[0][0]):
-                    yield _filled(rows, kind, id_arrow)
+                    yield _filled(rows, kind)
                     rows = []
                 if row is not None:
                     rows.append(row)
 
-    id_arrow = to_arrow_type(texts.schema["id"].dataType)
-    together = parts.repartition("chunk").sortWithinPartitions("chunk", F.col("places").isNotNull())
+    # one key, by which rows can be sorted without comparing them
+    turn = F.col("chunk") * 2 + F.col("places").isNotNull().cast("int")
+    together = parts.withColumn("turn", turn).repartition("chunk").sortWithinPartitions("turn")
     return together.select("chunk", "ids", "sizes", "packed", "places").mapInArrow(fill_in, f"id {id_type}, ids array<int>")
 
 
-def _filled(rows: list[tuple], kind: np.dtype, id_type: pa.DataType) -> pa.RecordBatch:
+def _to_bytes(column: pa.Array) -> bytes:
+    """A column as one value: lists beside many rows are slow to send."""
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_arrays([column], ["id"])
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _filled(rows: list[tuple], kind: np.dtype) -> pa.RecordBatch:
     """The texts of a chunk: (chunk, ids, sizes, packed, places) of the chunk itself, then of the answers for its rare words."""
     _, doc_ids, sizes, packed, _ = rows[0]
     ids, sizes = np.frombuffer(packed, kind), np.frombuffer(sizes, np.int32).astype(np.int64)
@@ -198,7 +207,8 @@ def _filled(rows: list[tuple], kind: np.dtype, id_type: pa.DataType) -> pa.Recor
     upto = np.concatenate([[0], np.cumsum(length)])
     flat = source[np.repeat(begin - upto[:-1], length) + np.arange(upto[-1])].astype(np.int32)
     offsets = upto[np.concatenate([[0], np.cumsum(sizes)])].astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(doc_ids, id_type), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["id", "ids"])
+    doc_ids = pa.ipc.open_stream(doc_ids).read_all().column(0).combine_chunks()
+    return pa.RecordBatch.from_arrays([doc_ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["id", "ids"])
 
 
 def decode(encoded: DataFrame, vocabulary: DataFrame) -> DataFrame:
