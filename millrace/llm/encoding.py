@@ -5,7 +5,6 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -130,16 +129,11 @@ def encode(df: DataFrame, id_col: str, text_col: str, path: str, frequent: int =
                 rare = word[at == last]
                 order = np.argsort(rare, kind="stable")
                 distinct, first = np.unique(rare[order], return_index=True)
-                places = [x.tobytes() for x in np.split(order.astype(np.uint32), first[1:])] if len(distinct) else []
+                places = _binary(order.astype(np.uint32), np.append(first[1:], len(order))[: len(distinct)] * 4)
                 chunk, asked = batch.column("row")[lo].as_py(), len(distinct)
-                none = [None] * asked
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([chunk] * (asked + 1), pa.int64()), pa.concat_arrays([pa.nulls(1, pa.string()), coded.dictionary.take(pa.array(distinct)).cast(pa.string())]), pa.array([None, *places], pa.binary()),
-                        pa.array([_to_bytes(batch.column("id").slice(lo, hi - lo)), *none], pa.binary()), pa.array([ids.tobytes(), *none], pa.binary()), pa.array([sizes.tobytes(), *none], pa.binary()),
-                    ],
-                    columns,
-                )
+                own = [pa.concat_arrays([pa.array([x], pa.binary()), pa.nulls(asked, pa.binary())]) for x in (_to_bytes(batch.column("id").slice(lo, hi - lo)), ids.tobytes(), sizes.tobytes())]
+                words_ = pa.concat_arrays([pa.nulls(1, pa.string()), coded.dictionary.take(pa.array(distinct)).cast(pa.string())])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(asked + 1, chunk, np.int64)), words_, pa.concat_arrays([pa.nulls(1, pa.binary()), places]), *own], columns)
 
     half = texts.withColumn("row", F.monotonically_increasing_id()).select("id", "row", "words")
     half = materialize(half.mapInArrow(look_up, "chunk long, w string, places binary, ids binary, packed binary, sizes binary"), "half-encoded")
@@ -162,14 +156,18 @@ def encode(df: DataFrame, id_col: str, text_col: str, path: str, frequent: int =
 
     def fill_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # the rows of a chunk come together, its ids with holes first
-        rows: list[tuple] = []
-        for batch in chain(batches, [None]):
-            for row in zip(*(batch.column(c).to_pylist() for c in ("chunk", "ids", "sizes", "packed", "places"))) if batch is not None else [None]:
-                if rows and (row is None or row[0] != rows[0][0]):
-                    yield _filled(rows, kind)
-                    rows = []
-                if row is not None:
-                    rows.append(row)
+        kept: list[pa.RecordBatch] = []
+        for batch in batches:
+            chunk = batch.column("chunk").to_numpy(zero_copy_only=False)
+            cut = np.flatnonzero(np.diff(chunk)) + 1
+            for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(chunk)]):
+                if kept and lo < hi and kept[0].column("chunk")[0].as_py() != chunk[lo]:
+                    yield _filled(kept, kind)
+                    kept = []
+                if lo < hi:
+                    kept.append(batch.slice(lo, hi - lo))
+        if kept:
+            yield _filled(kept, kind)
 
     # one key, by which rows can be sorted without comparing them
     turn = F.col("chunk") * 2 + F.col("places").isNotNull().cast("int")
@@ -186,22 +184,39 @@ def _to_bytes(column: pa.Array) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _filled(rows: list[tuple], kind: np.dtype) -> pa.RecordBatch:
-    """The texts of a chunk: (chunk, ids, sizes, packed, places) of the chunk itself, then of the answers for its rare words."""
-    _, doc_ids, sizes, packed, _ = rows[0]
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values that lie one after the other in ``data``, up to the byte ``ends`` each."""
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _values(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """(all items, items of each value) of a column of packed numbers."""
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    items = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8)
+    return np.frombuffer(items.tobytes(), kind), np.diff(offsets) // kind.itemsize
+
+
+def _filled(batches: list[pa.RecordBatch], kind: np.dtype) -> pa.RecordBatch:
+    """The texts of a chunk, from the row of the chunk itself and those of the answers for its rare words."""
+    own = batches[0].slice(0, 1)
+    doc_ids, sizes, packed = (own.column(c)[0].as_py() for c in ("ids", "sizes", "packed"))
+    answers = [b for b in (batches[0].slice(1), *batches[1:]) if len(b)]
     ids, sizes = np.frombuffer(packed, kind), np.frombuffer(sizes, np.int32).astype(np.int64)
     at = np.flatnonzero(ids == np.iinfo(kind).max)
     length = np.ones(len(ids), np.int64)
     start = np.zeros(len(ids), np.int64)
-    pool = b"".join(r[3] for r in rows[1:])
-    if len(at):
-        n = np.array([len(r[3]) // kind.itemsize for r in rows[1:]], np.int64)
-        many = np.array([len(r[4]) // 4 for r in rows[1:]], np.int64)
-        place = at[np.frombuffer(b"".join(r[4] for r in rows[1:]), np.uint32)]
+    pool = np.empty(0, kind)
+    if answers:
+        pool, n = _values(pa.concat_arrays([b.column("packed") for b in answers]), kind)
+        places, many = _values(pa.concat_arrays([b.column("places") for b in answers]), np.dtype(np.uint32))
+        n = n.astype(np.int64)
+        place = at[places]
         length[place] = np.repeat(n, many)
         start[place] = np.repeat(np.cumsum(n) - n, many)
     # own ids lie before the answers in one array
-    source = np.concatenate([ids, np.frombuffer(pool, kind)])
+    source = np.concatenate([ids, pool])
     begin = np.arange(len(ids))
     begin[at] = len(ids) + start[at]
     upto = np.concatenate([[0], np.cumsum(length)])
