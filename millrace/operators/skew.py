@@ -13,6 +13,8 @@ from millrace.session import materialize
 
 #: A key is hot if it holds more than one HOT_SHARE-th of the rows, so there are fewer than HOT_SHARE hot keys at any size.
 HOT_SHARE = 1000
+#: Fewer rows than this are no burden for a task, whatever their share.
+LEAST_HOT = 100_000
 
 
 def hot_aware_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], count: str, total: int, share: int = HOT_SHARE) -> DataFrame:
@@ -37,16 +39,18 @@ def hot_aware_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], coun
     return few.unionByName(rest)
 
 
-def hot_aware_left_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], share: int = HOT_SHARE) -> DataFrame:
+def hot_aware_left_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], share: int = HOT_SHARE, least: int = LEAST_HOT) -> DataFrame:
     """Every row of ``rows`` with the columns of ``lookup`` (unique on ``keys``), null where it has no such key.
 
-    Keys with more than one share-th of the rows, fewer than ``share``, are found by :func:`heavy_keys` and joined by broadcast;
-    rows with a null key match nothing and are not shuffled either.
+    Keys with more than one share-th of the rows, fewer than ``share``, and more than ``least`` rows are joined by broadcast; rows with
+    a null key match nothing and are not shuffled either. ``rows`` is read up to four times and should be cheap to read.
     """
     keys = list(keys)
     null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     marked = rows.where(~null).withColumn("_hk", F.xxhash64(*keys))
-    hot = [r["_hk"] for r in heavy_keys(marked.select("_hk"), "_hk", share=1 / share).select("_hk").collect()]
+    counts = marked.groupBy("_hk").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
+    total = marked.count() if not counts.isEmpty() else 0
+    hot = [r["_hk"] for r in counts.where(F.col("n") * share > total).collect()] if total else []  # fewer than share
     lookup = lookup.dropDuplicates(keys).withColumn("_hk", F.xxhash64(*keys))
     is_hot = F.col("_hk").isin(hot) if hot else F.lit(False)
     cold = marked.where(~is_hot).drop("_hk").join(lookup.where(~is_hot).drop("_hk"), keys, "left")

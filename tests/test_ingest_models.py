@@ -95,9 +95,10 @@ def test_lsa_spans_the_singular_directions(spark):
 def test_left_join_of_hot_and_null_keys(spark):
     rows = spark.createDataFrame([(i, None if i % 7 == 0 else ("hot" if i % 3 else f"k{i}"), 1) for i in range(3000)], "id long, k string, v int")
     look = spark.createDataFrame([("hot", 1), ("k3", 2), ("k9999", 3)], "k string, w int")
-    got = skew.hot_aware_left_join(rows, look, ["k"])
-    assert got.count() == 3000 and got.where("w = 1").count() == rows.where("k = 'hot'").count() and got.where("w = 2").count() == 1
-    assert got.where("k is null and w is null").count() == rows.where("k is null").count()
+    for least in (0, 100_000):  # joined by broadcast, by shuffle
+        got = skew.hot_aware_left_join(rows, look, ["k"], least=least)
+        assert got.count() == 3000 and got.where("w = 1").count() == rows.where("k = 'hot'").count() and got.where("w = 2").count() == 1
+        assert got.where("k is null and w is null").count() == rows.where("k is null").count()
 
 
 def test_quantiles_of_keys_across_ranges(spark):
