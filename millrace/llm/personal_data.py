@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.lookalikes import _BLANK, _INVISIBLE, suspects
-from millrace.operators.skew import hot_aware_join
+from millrace.operators.skew import LEAST_HOT, hot_aware_join
 from millrace.session import materialize, release
 
 FIELDS = ("subject", "message", "normalized_text")
@@ -331,6 +331,8 @@ def score(equal: DataFrame) -> DataFrame:
         state = state.withColumn(k, F.when(F.col("seed") == k, 1.0).otherwise(0.0))
     rows = max(equal.count(), 1)
     state = materialize(state, "pii-round")
+    # which instances a pattern holds stays the same, so patterns with a burden of them are looked for once
+    held = {c: state.groupBy("cls", c).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0 for c in ("l2", "l1", "form")}
     for _ in range(ROUNDS):
         scores = state
         for column in ("l2", "l1", "form"):
@@ -339,7 +341,8 @@ def score(equal: DataFrame) -> DataFrame:
             if column == "l2":
                 measures += [F.sum(F.when(F.col("seed") != "", F.col("n")).otherwise(0)).alias("seeds"), *[F.sum(F.when(F.col("seed") == k, F.col("n")).otherwise(0)).alias(f"seeds_{k}") for k in kinds]]
             pattern = state.groupBy("cls", column).agg(F.count(F.lit(1)).alias("_rows"), *measures)
-            scores = hot_aware_join(scores, pattern, ["cls", column], "_rows", rows).drop("_rows")
+            joined = hot_aware_join(scores, pattern, ["cls", column], "_rows", rows) if held[column] > LEAST_HOT else scores.join(pattern, ["cls", column])
+            scores = joined.drop("_rows")
         for k in kinds:
             wide = (F.col("l1_n") * F.col(f"l1_{k}") + SUPPORT * F.col(f"form_{k}")) / (F.col("l1_n") + SUPPORT)
             near = (F.col("l2_n") * F.col(f"l2_{k}") + SUPPORT * wide) / (F.col("l2_n") + SUPPORT)
