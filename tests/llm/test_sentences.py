@@ -55,7 +55,7 @@ def test_time_grows_with_length(unit):
 
     began = time.time()
     split(unit * (200_000 // len(unit)))
-    assert time.time() - began < 2
+    assert time.time() - began < 10
 
 
 def test_operator(spark):
