@@ -165,8 +165,7 @@ def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {_TFIDF}, p as (select a.k a, b.k b, sum(a.weight * b.weight) c from w a join w b on a.term = b.term and a.k <> b.k group by 1, 2), m as (select a, max(c) c from p group by 1), t as (select count(*) * 1.0 n from {_DISTINCT}) select round(count(*) filter (where c >= 0.5) / max(n), 6) at_50, round(count(*) filter (where c >= 0.7) / max(n), 6) at_70, round(count(*) filter (where c >= 0.9) / max(n), 6) at_90 from m, t")
 def near_duplicate_shares(spark: SparkSession, d: str) -> DataFrame:
     s = distinct_messages(spark, d)
-    pairs = similarity.cosine_pairs(similarity.tfidf(s, "k", "text", max_terms=None), "k", 0.4)
-    best = similarity.best_partner(pairs.withColumns({"a": F.xxhash64("a"), "b": F.xxhash64("b")}))
+    best = similarity.best_cosines(similarity.tfidf(s, "k", "text", max_terms=None), "k", 0.5)
     n = s.agg(F.count(F.lit(1)).alias("n"))  # one row
     one = best.agg(*[F.count_if(F.col("cosine") >= x).alias(f"at_{int(x * 100)}") for x in (0.5, 0.7, 0.9)]).join(n, F.lit(True))
     return one.select(*[F.round(F.col(c) / F.col("n"), 6).alias(c) for c in ("at_50", "at_70", "at_90")])
